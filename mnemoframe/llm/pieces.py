@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 LIMIT_TOKENS, OVERLAP_TOKENS, CHARS_PER_TOKEN = 400, 40, 4
 
 _SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
-_BREAKS = [r"\n[ \t]*\n", r"\n", r"[.!?…][\"'”’)\]]?" + _SPACE + "|[。！？]", r"[,;:]" + _SPACE, _SPACE]
+_BREAKS = [r"\n[ \t]{0,4}\n", r"\n", r"[.!?…][\"'”’)\]]?" + _SPACE + "|[。！？]", r"[,;:]" + _SPACE, _SPACE]
 
 
 def max_chars(tokens: int) -> int:
@@ -67,5 +67,5 @@ def piece_rows(df: DataFrame, id_col: str = "turn_id", text: str = "content", li
 
 
 def oversized_turns(turns: DataFrame) -> DataFrame:
-    """(turn_id, forced) of the turns that come out in more than one piece."""
-    return split_oversized(turns).where(F.size("pieces") > 1).select("turn_id", "forced").distinct()
+    """(turn_id, forced) of the turns that come out in more than one piece: those with a second piece."""
+    return split_oversized(turns).select("turn_id", "forced", F.inline(F.slice("pieces", 2, 1))).select("turn_id", "forced").distinct()

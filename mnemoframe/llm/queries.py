@@ -35,14 +35,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["p2_found"] = """
-SELECT DISTINCT turn_id, CAST(regexp_matches(content, '[^\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}。！？]{1000}[^\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}。！？]{604}') AS INT) AS forced
+SELECT DISTINCT turn_id, CAST(list_max(list_transform(string_split_regex(content, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}。！？]'), lambda x: length(x))) > 1603 AS INT) AS forced
 FROM turns WHERE floor(length(content) / 4) > 400
 """
 
 
 @query
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.piece_rows(load(spark, d, "turns")).withColumn("forced", F.col("forced"))
+    return pieces.piece_rows(load(spark, d, "turns"))
 
 
 @query
