@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import pieces, quantiles, splits
+from mnemoframe.llm import leaks, mixing, pieces, quantiles, splits
 from mnemoframe.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,28 @@ def p7_months(spark: SparkSession, d: str) -> DataFrame:
     cells = quantiles.sketch(quantiles.measures(load(spark, d, "answers"))).withColumn("month", F.substring("run_day", 1, 7))
     keys = ["system", "month", "metric"]
     return quantiles.quantiles(quantiles.merge(cells, keys), keys)
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+@query
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets")).where("short").select("source")
+
+
+@query
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+@query
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_copies(load(spark, d, "documents"), load(spark, d, "mix_targets"))
