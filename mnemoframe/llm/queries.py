@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import leaks, mixing, pieces, quantiles, splits
+from mnemoframe.llm import leaks, mixing, pieces, quantiles, splits, vectors
 from mnemoframe.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,13 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_copies(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_pairs(load(spark, d, "embed_cache"))
+
+
+@query
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.most_similar(load(spark, d, "embed_cache"))
