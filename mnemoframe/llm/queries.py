@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import leaks, mixing, pieces, quantiles, splits, vectors
+from mnemoframe.llm import leaks, mixing, overlap, pairs, pieces, quantiles, splits, vectors
 from mnemoframe.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.most_similar(load(spark, d, "embed_cache"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(pairs.benchmark_pairs(load(spark, d, "samples"), load(spark, d, "answers")))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlapping_pairs(load(spark, d, "samples")).select("sample_id_a", "sample_id_b").distinct()
+
+
+@query
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_counts(load(spark, d, "samples"))
