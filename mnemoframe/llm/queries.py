@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import leaks, mixing, overlap, pairs, pieces, quantiles, splits, vectors
+from mnemoframe.llm import leaks, mixing, overlap, pairs, pieces, quantiles, splits, subjects, vectors
 from mnemoframe.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(load(spark, d, "samples"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(load(spark, d, "documents"), load(spark, d, "doc_labels")).select("doc_id", "subject")
