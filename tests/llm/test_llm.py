@@ -54,7 +54,7 @@ def test_components_against_union_find(spark):
 
 def test_split_keeps_groups(spark):
     rnd = random.Random(1)
-    rows = [{"sample_id": f"qz-{i // 4}-{i % 4}", "dataset": "quartz", "category": rnd.choice(["A b", "a-b", None, "c"]), "author": f"p{rnd.randrange(4000)}"} for i in range(2000)]
+    rows = [{"sample_id": f"qz-{i // 4}-{i % 4}", "dataset": "quartz", "category": rnd.choice(["A b", "a-b", None, "c"]), "author": f"p{rnd.randrange(60_000)}"} for i in range(2000)]
     out = splits.assign_splits(samples(spark, rows)).toPandas()
     assert len(out) == 2000 and out.groupby("group_id")["split"].nunique().max() == 1
     assert 0.7 < (out["split"] == "train").mean() < 0.9
