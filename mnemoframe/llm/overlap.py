@@ -1,9 +1,9 @@
 """The same question and answer in training and evaluation splits, by a weighted cosine join.
 
 Questions are vectors of term weights. Inverted lists hold only the heaviest terms of each vector: once the norm of what
-is left falls below the threshold, a pair that shares none of the listed terms can't reach it. The listed terms, the
-greatest weights and the residual norms bound the cosine of a candidate; exact dot products and a comparison of the
-words that differ decide.
+is left falls below the threshold, a pair that shares none of the listed terms can't reach it. The terms met, the greatest
+weights and the residual norms bound the cosine of a candidate; exact dot products and a comparison of the words that
+differ decide.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions.text import norm_words, plain_text
 from mnemoframe.session import cut_lineage
 
-THRESHOLD = 0.45
+THRESHOLD = 0.6
 #: A term in more than this share of the questions is joined by broadcast: with words once per question there can't be
 #: more such terms than the mean number of words divided by the share.
 COMMON = 0.01
@@ -66,14 +66,14 @@ def _vectors(classes: DataFrame, total: int) -> DataFrame:
 
 
 def _listed(v: DataFrame, threshold: float) -> DataFrame:
-    """Inverted lists: (term, key, class, w, rest, top): the terms before which the rest's norm still reaches the threshold."""
+    """Inverted lists: (term, key, class, w, after, n): the terms before which the rest's norm still reaches the threshold.
+
+    after and n are the norm and the number of the terms that follow in the vector.
+    """
     left = lambda i: F.sqrt(F.aggregate(F.slice("vec", i, F.size("vec")), F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    marked = F.transform("vec", lambda x, i: F.struct(x["term"].alias("term"), x["w"].alias("w"), left(i + 1).alias("left")))
-    heavy = F.filter(marked, lambda x: x["left"] >= threshold)
-    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate("heavy", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
-    d = v.select("class", "key", heavy.alias("heavy"), F.size("vec").alias("n")).withColumn("rest", rest)
-    d = d.withColumn("top", F.coalesce(F.get("heavy", F.size("heavy") - 1)["w"], F.lit(1.0)))
-    return d.select("class", "key", "rest", "top", "n", F.inline("heavy")).drop("left")
+    after = lambda i: F.when(i + 2 <= F.size("vec"), left(i + 2)).otherwise(0.0)
+    marked = F.transform("vec", lambda x, i: F.struct(x["term"].alias("term"), x["w"].alias("w"), left(i + 1).alias("left"), after(i).alias("after"), (F.size("vec") - i - 1).alias("n")))
+    return v.select("class", "key", F.inline(F.filter(marked, lambda x: x["left"] >= threshold))).drop("left")
 
 
 def _slip(a: Column, b: Column) -> Column:
@@ -107,12 +107,14 @@ def overlapping_pairs(samples: DataFrame, threshold: float = THRESHOLD) -> DataF
     total = classes.count()
     v = cut_lineage(_vectors(classes, total))
     listed = _listed(v, threshold).join(classes.select("class", "has_train", "all_train"), "class")
-    a = listed.where("has_train").select("term", "key", F.col("class").alias("ca"), F.col("w").alias("wa"), F.col("rest").alias("ra"), F.col("top").alias("ta"), F.col("n").alias("na"))
-    b = listed.where("NOT all_train").select("term", "key", F.col("class").alias("cb"), F.col("w").alias("wb"), F.col("rest").alias("rb"), F.col("top").alias("tb"), F.col("n").alias("nb"))
-    met = a.join(b, ["term", "key"]).where("ca <> cb").groupBy("ca", "cb").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), *[F.max(c).alias(c) for c in ("ra", "rb", "ta", "tb", "na", "nb")])
-    # What the lists left out adds at most: a listed term against the other's rest, and rest against rest.
-    bound = F.col("dot") + F.least(F.col("ra") + F.col("rb"), F.least("na", "nb") * F.greatest("ta", "tb"))
-    met = met.where(bound >= threshold).select("ca", "cb")
+    a = listed.where("has_train").select("term", "key", F.col("class").alias("ca"), F.col("w").alias("wa"), F.col("after").alias("ra"), F.col("n").alias("na"))
+    b = listed.where("NOT all_train").select("term", "key", F.col("class").alias("cb"), F.col("w").alias("wb"), F.col("after").alias("rb"), F.col("n").alias("nb"))
+    sums = [F.sum(F.col("wa") * F.col("wb")).alias("dot"), *[F.min(c).alias(c) for c in ("ra", "rb", "na", "nb", "wa", "wb")]]
+    met = a.join(b, ["term", "key"]).where("ca <> cb").groupBy("ca", "cb").agg(*sums)
+    # All terms come in one order, so what both have before the last term they met at is in dot. What follows adds no
+    # more than the product of the norms of the rests, nor than their greatest weights times their number of terms.
+    bound = F.col("dot") + F.least(F.col("ra") * F.col("rb"), F.least("na", "nb") * F.col("wa") * F.col("wb"))
+    met = met.where(bound >= threshold - 1e-9).select("ca", "cb")
     va, vb = v.select(F.col("class").alias("ca"), F.col("vec").alias("va")), v.select(F.col("class").alias("cb"), F.col("vec").alias("vb"))
     full = met.join(va, "ca").join(vb, "cb")
     dot = F.aggregate("va", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.get(F.filter("vb", lambda y: y["term"] == x["term"]), F.lit(0))["w"], F.lit(0.0)))
