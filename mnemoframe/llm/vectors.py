@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The codebooks are fitted on at most about this many vectors of a model, chosen by hash; every vector is indexed.
-SAMPLE = 40_000
+SAMPLE = 24_000
 BOOKS, WORDS, BEAM = 8, 256, 4
 CELL, MAX_CELLS, PROBES = 400, 4096, 8
 #: Cells with more members are split by the second code; queries visit so many of the parts.
