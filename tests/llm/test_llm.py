@@ -206,7 +206,8 @@ def test_mix(spark):
 
 def test_subjects(spark):
     rnd = random.Random(6)
-    terms = {"law": ["court", "lease", "verdict", "bail"], "sport": ["goal", "striker", "pitch", "relay"]}
+    syllables = ["ba", "ko", "li", "mu", "re"]
+    terms = {s: [f"{s[:2]}{a}{b}" for a in syllables for b in syllables] for s in ("law", "sport")}
     docs, labels = [], []
     for i in range(300):
         s = rnd.choice(list(terms))
