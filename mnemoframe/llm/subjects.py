@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from mnemoframe.functions.text import norm_words, plain_text, words
 from mnemoframe.session import cut_lineage
 
-#: Terms of the model: at most VOCABULARY of those in at least LEAST and at most MOST of the documents.
-VOCABULARY, LEAST, LEAST_DOCS, MOST = 4000, 0.0004, 4, 0.12
+#: Terms of the model: at most VOCABULARY of those in at least LEAST and at most MOST of the documents, and in at most
+#: MOST_IN_LANGUAGE of those of any language. A language with few sentence patterns has higher shares of all its words.
+VOCABULARY, LEAST, LEAST_DOCS, MOST, MOST_IN_LANGUAGE = 4000, 0.0004, 4, 0.12, 0.25
 #: A pair of words is a term if it makes up at least this part of the documents of its rarer word.
 TOGETHER = 0.3
 TOPICS, ITERATIONS, TOP_TERMS = 36, 25, 40
@@ -59,8 +60,9 @@ def _vocabulary(documents: DataFrame, docs: DataFrame) -> list[str]:
     capital = latin.groupBy(F.lower("w").alias("term")).agg(F.avg(F.col("w").rlike(r"^\p{Lu}|^\p{N}").cast("double")).alias("c"), F.count("*").alias("k"))
     by_lang = of.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("k"))
     shares = by_lang.join(F.broadcast(sizes), "lang").where("k >= 2").groupBy("term").agg(F.sum("k").alias("df"), F.max(F.when(F.col("n") >= 0.01 * n, F.col("k") / F.col("n"))).alias("most"))
-    good = cut_lineage(shares.where((F.col("df") >= max(LEAST_DOCS, LEAST * n)) & (F.coalesce("most", F.lit(0.0)) <= MOST)))
-    named = capital.where("c > 0.6 AND k >= 3").select("term")
+    good = cut_lineage(shares.where((F.col("df") >= max(LEAST_DOCS, LEAST * n)) & (F.col("df") <= MOST * n) & (F.coalesce("most", F.lit(0.0)) <= MOST_IN_LANGUAGE)))
+    # Documents with a wrong or no language don't make names of the nouns of another.
+    named = capital.join(good.select("term", "df"), "term").where("c > 0.6 AND k >= 3 AND k >= 0.3 * df").select("term")
     single = good.where(~F.col("term").contains(" ")).join(named, "term", "left_anti").select("term", "df")
     # A pair counts only if its words are terms that keep together, or one is and the other is frequent.
     pair = good.where(F.col("term").contains(" ")).select("term", F.col("df"), F.explode(F.split("term", " ")).alias("x"))
