@@ -25,7 +25,7 @@ VOCABULARY, LEAST, LEAST_DOCS, MOST, MOST_IN_LANGUAGE = 4000, 0.0004, 4, 0.12, 0
 #: A pair of words is a term if it makes up at least this part of the documents of its rarer word.
 TOGETHER = 0.3
 TOPICS, ITERATIONS, TOP_TERMS = 36, 25, 40
-MARGIN, SENTENCES, SUBJECTS = 1.0, 2, 2
+MARGIN, SENTENCES, SUBJECTS = 1.8, 2, 2
 
 
 def sentences(c: Column) -> Column:
@@ -121,7 +121,7 @@ def term_weights(documents: DataFrame, labels: DataFrame, docs: DataFrame) -> tu
     return vocabulary, names, np.log(p / (1 - p)) - np.log(base / (1 - base)), pd.DataFrame(rows, columns=["topic", "subject", "terms"])
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFrame:
     """(doc_id, subject, n_sentences): the subjects, two at most, that two or more sentences of a document deal with.
 
     Documents without text or about none of the subjects have no row. Without labels there is no row at all.
@@ -141,7 +141,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     found = [table[t] for t in (*w, *map(" ".join, zip(w, w[1:]))) if t in table]
                     if found:
                         score = np.maximum(np.max(found, axis=0), 0) + np.minimum(np.min(found, axis=0), 0) * 0.2
-                        if score.max() >= MARGIN:
+                        if score.max() >= margin:
                             scores.append(score)
                 if scores:
                     # The document's own proportions decide between the subjects of an ambiguous term.
