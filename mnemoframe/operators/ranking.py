@@ -65,35 +65,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 4096, item_rows: int = 65536) -> DataFrame:
     """(query_id, item_id, sim, rank): exact top k of items (item_id, vec) for a stated set of queries (query_id, vec).
 
-    The query set is taken in blocks; each block is multiplied with each batch of items as a matrix, and only k rows a
-    query leave a batch. Items are read once per block and never shuffled.
+    Queries and items lie on a grid of blocks of bounded size; each cell is one matrix product in one task, and only k
+    rows a query leave it. The driver sees two counts. A NULL vector or id takes no part, a zero vector has similarity 0,
+    and only vectors of one length meet. Ties go to the smaller item_id.
     """
-    spark = items.sparkSession
-    rows = queries.select("query_id", "vec").where("vec IS NOT NULL").toPandas()
-    out = None
-    for i in range(0, max(1, len(rows)), block_rows):
-        part = rows.iloc[i : i + block_rows]
-        q = np.stack(part["vec"].to_list()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        block = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.where(norm == 0, 1, norm)))
-
-        def best(batches, block=block):
-            ids, q = block.value
-            for b in batches:
-                x = np.stack(b["vec"].to_list()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ (x / np.where(n == 0, 1, n)).T
-                kk = min(k, s.shape[1])
-                order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :kk]
-                yield pd.DataFrame({"query_id": np.repeat(ids, kk), "item_id": b["item_id"].to_numpy()[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
-
-        found = items.select("item_id", "vec").where("vec IS NOT NULL").mapInPandas(best, "query_id bigint, item_id bigint, sim double")
-        out = found if out is None else out.unionByName(found)
+    q = queries.select("query_id", F.col("vec").alias("qv")).where("vec IS NOT NULL AND query_id IS NOT NULL")
+    x = items.select("item_id", "vec").where("vec IS NOT NULL AND item_id IS NOT NULL")
+    n_rows, n_cols = (max(1, math.ceil(df.count() / most)) for df, most in ((q, block_rows), (x, item_rows)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select(F.size("qv").alias("dim"), block("query_id", n_rows).alias("row"), every(n_cols).alias("col"), "query_id", "qv")
+    x = x.select(F.size("vec").alias("dim"), every(n_rows).alias("row"), block("item_id", n_cols).alias("col"), "item_id", "vec")
+
+    def unit(vecs: pd.Series) -> np.ndarray:
+        m = np.stack(vecs.to_list()).astype(np.float64)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(n == 0, 1, n)
+
+    def best(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or xs.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
+        xs = xs.sort_values("item_id")
+        s = unit(qs["qv"]) @ unit(xs["vec"]).T
+        kk = min(k, s.shape[1])
+        order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :kk]
+        return pd.DataFrame({"query_id": np.repeat(qs["query_id"].to_numpy(), kk), "item_id": xs["item_id"].to_numpy()[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
+
+    cell = ["dim", "row", "col"]
+    found = q.groupBy(*cell).cogroup(x.groupBy(*cell)).applyInPandas(best, "query_id bigint, item_id bigint, sim double")
     w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "item_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

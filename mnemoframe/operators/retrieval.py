@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.operators.ranking import cosine_topk, dot
+from mnemoframe.session import cut_lineage
 
 #: Words too common to seed a recall (this library's choice).
 STOP_WORDS = "the and for that this with from was were are has have had but not you your his her its they them who what when where which why how all any can will would than then there into over been before after about until".split()
@@ -99,33 +98,49 @@ def repair_route(passed: Column, contradicted: Column, coverage: Column, low: fl
     return F.when(passed, "SKIP").when(contradicted, "MERGE").when(F.coalesce(coverage, F.lit(0.0)) < low, "INSERT").otherwise("MERGE")
 
 
-def translation_scores(triples: DataFrame, dim: int = 16, epochs: int = 20, lr: float = 0.05, margin: float = 1.0, seed: int = 0) -> DataFrame:
+def translation_scores(triples: DataFrame, dim: int = 16, epochs: int = 20, lr: float = 0.05, margin: float = 1.0, seed: int = 0, block_rows: int = 20_000, rounds: int = 2) -> DataFrame:
     """(ns, h, r, t, score) with exp(-|h + r - t|) of embeddings fitted per namespace by margin ranking over tails.
 
-    A namespace is one graph of bounded size (the store of one agent); namespaces are fitted in parallel.
+    Iterative parameter mixing: a namespace is cut into blocks of about block_rows triples, each block is fitted on its
+    own from the same start, and the vectors of its blocks are averaged after each round. So no task holds a namespace.
+    Rows with a NULL take no part; a namespace within one block is fitted as a whole.
     """
+    d = triples.select("ns", "h", "r", "t").dropna().distinct()
+    parts = d.groupBy("ns").agg(F.ceil(F.count("*") / block_rows).alias("n"))
+    d = d.join(parts, "ns").select("ns", "h", "r", "t", F.pmod(F.xxhash64("h", "r", "t"), F.col("n")).alias("block"))
+
+    def start(c: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.xxhash64(F.lit(seed), "ns", c, i) / F.lit(2.0**63) * (6 / dim**0.5))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["h", "r", "t"]).reset_index(drop=True)
-        ents, rels = pd.unique(pd.concat([g["h"], g["t"]])), pd.unique(g["r"])
-        ei, ri = {e: i for i, e in enumerate(ents)}, {r: i for i, r in enumerate(rels)}
-        h, r, t = (g[c].map(m).to_numpy() for c, m in (("h", ei), ("r", ri), ("t", ei)))
+        first = {"e": dict(zip(g["t"], g["tv"])) | dict(zip(g["h"], g["hv"])), "r": dict(zip(g["r"], g["rv"]))}
+        at = {kind: {x: i for i, x in enumerate(vs)} for kind, vs in first.items()}
+        h, r, t = g["h"].map(at["e"]).to_numpy(), g["r"].map(at["r"]).to_numpy(), g["t"].map(at["e"]).to_numpy()
+        e, w = (np.stack(list(first[kind].values())).astype(float) for kind in "er")
         rng = np.random.default_rng(seed)
-        e, w = rng.uniform(-6, 6, (len(ents), dim)) / np.sqrt(dim), rng.uniform(-6, 6, (len(rels), dim)) / np.sqrt(dim)
         for _ in range(epochs):
-            bad = rng.integers(len(ents), size=len(g))
+            bad = rng.integers(len(e), size=len(g))
             dp, dn = e[h] + w[r] - e[t], e[h] + w[r] - e[bad]
-            np_, nn = np.linalg.norm(dp, axis=1), np.linalg.norm(dn, axis=1)
-            on = (margin + np_ - nn > 0)[:, None]
-            gp, gn = on * dp / np.maximum(np_, 1e-9)[:, None], on * dn / np.maximum(nn, 1e-9)[:, None]
+            far, near = np.linalg.norm(dp, axis=1), np.linalg.norm(dn, axis=1)
+            on = (margin + far - near > 0)[:, None]
+            gp, gn = on * dp / np.maximum(far, 1e-9)[:, None], on * dn / np.maximum(near, 1e-9)[:, None]
             np.add.at(e, h, -lr * (gp - gn))
             np.add.at(w, r, -lr * (gp - gn))
             np.add.at(e, t, lr * gp)
             np.add.at(e, bad, -lr * gn)
             e /= np.maximum(1.0, np.linalg.norm(e, axis=1, keepdims=True))
-        return g.assign(score=np.exp(-np.linalg.norm(e[h] + w[r] - e[t], axis=1)))
-
-    return triples.select("ns", "h", "r", "t").groupBy("ns").applyInPandas(fit, "ns string, h string, r string, t string, score double")
+        return pd.DataFrame({"ns": g["ns"].iloc[0], "kind": ["e"] * len(e) + ["r"] * len(w), "id": [*at["e"], *at["r"]], "vec": [*e, *w]})
+
+    v = d.withColumns({"hv": start("h"), "rv": start("r"), "tv": start("t")})
+    for _ in range(rounds):
+        found = v.groupBy("ns", "block").applyInPandas(fit, "ns string, kind string, id string, vec array<double>")
+        mean = cut_lineage(found.groupBy("ns", "kind", "id").agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)]).alias("vec")))
+        v = d
+        for kind, c in (("e", "h"), ("r", "r"), ("e", "t")):
+            v = v.join(mean.where(F.col("kind") == kind).select("ns", F.col("id").alias(c), F.col("vec").alias(c + "v")), ["ns", c])
+    gap = F.zip_with(F.zip_with("hv", "rv", lambda a, b: a + b), "tv", lambda a, b: a - b)
+    return v.select("ns", "h", "r", "t", F.exp(-F.sqrt(dot(gap, gap))).alias("score"))
 
 
 def fingerprint(files: DataFrame, name: str, content: str) -> DataFrame:

@@ -163,3 +163,28 @@ def test_stream_equals_fold(spark, tmp_path):
     last = spark.table("act").groupBy("user_id", "event_type").agg(F.max_by("activation", "turn").alias("activation"))
     fold = activation_fold(spark.createDataFrame(data, schema), ["user_id", "event_type"], "turn")
     assert rows(last, "user_id", "event_type", "activation") == rows(fold, "user_id", "event_type", "activation")
+
+
+def test_cosine_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(90, 5))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, [0.0] * 5), (201, [1.0, 2.0]), (202, None), (None, [1.0] * 5)]
+    items = spark.createDataFrame(data, "item_id bigint, vec array<double>")
+    q = items.where("item_id % 3 = 0").selectExpr("item_id AS query_id", "vec", "'x' AS row")
+    whole, blocks = (sorted(map(tuple, ranking.cosine_topk(q, items, 4, *n).select("query_id", "item_id", "rank").collect())) for n in ((4096, 65536), (7, 11)))
+    assert whole == blocks and len(whole) == 30 * 4 + 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [i for q_, i, _ in sorted(whole, key=lambda r: (r[0], r[2])) if q_ == 3] == np.argsort(-(u @ u[3]))[:4].tolist()
+    assert ranking.cosine_topk(q.limit(0), items, 4).count() == 0
+
+
+def test_translation_scores(spark):
+    facts = [("n", f"c{i}", "in", f"t{i % 4}") for i in range(80)] + [("n", f"c{i}", "lives", f"t{(i + 1) % 4}") for i in range(80)] + [("m", "a", "in", "b"), ("m", "a", "in", "b"), (None, "a", "in", "b"), ("m", "a", None, "b")]
+    df = spark.createDataFrame(facts, "ns string, h string, r string, t string")
+    for block in (20_000, 40):
+        got = rt.translation_scores(df, epochs=60, block_rows=block).toPandas()
+        assert len(got) == 161 and got["score"].between(0, 1).all()
+        start = rt.translation_scores(df, epochs=0, block_rows=block).toPandas()
+        assert got["score"].mean() > 2 * start["score"].mean()
+    assert rt.translation_scores(df.limit(0)).count() == 0
