@@ -26,6 +26,9 @@ _CHANNELS = """WITH agg AS (SELECT l_partkey, round(sum(l_quantity), 4) AS qty,
 base AS (SELECT p.p_brand AS q, a.* FROM agg a JOIN part p ON p.p_partkey = a.l_partkey),
 ch AS (SELECT q, l_partkey, 'qty' AS c, qty AS s FROM base UNION ALL SELECT q, l_partkey, 'disc', disc FROM base UNION ALL SELECT q, l_partkey, 'n', n FROM base)"""
 
+# int(sha1(text), 16) % 100 in DuckDB's SQL: eight hex digits at a time, 16 ** 8 % 100 = 96.
+_MOD = "list_reduce(list_transform([1, 9, 17, 25, 33], lambda i: ('0x' || substr(sha1(sample_id), i, 8))::BIGINT % 100), lambda a, b: (a * 96 + b) % 100)"
+
 
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
@@ -308,7 +311,7 @@ def conformal_qhat(spark, d):
     return c.select("dataset", "n", F.round("qhat", 9).alias("qhat"), F.round("cutoff", 9).alias("cutoff"))
 
 
-@query()
+@query(f"SELECT DISTINCT sample_id, {_MOD} AS bucket, CASE WHEN {_MOD} < 20 THEN 'dev' ELSE 'test' END AS split FROM samples")
 def split_assign(spark, d):
     return load(spark, d, "samples").select("sample_id").distinct().select("sample_id", ev.sha1_mod100(F.col("sample_id")).alias("bucket"), ev.split_of(F.col("sample_id")).alias("split"))
 
