@@ -115,3 +115,15 @@ def exclusive_percentile(df: DataFrame, by: str, value: str, p: float) -> DataFr
     at = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))
     e = g.groupBy(by, "_n").agg(at(F.floor(rank)).alias("_lo"), at(F.ceil(rank)).alias("_hi"), F.max(rank).alias("_k"))
     return e.select(by, F.col("_n").alias("n"), (F.col("_lo") + (F.col("_k") - F.floor("_k")) * (F.col("_hi") - F.col("_lo"))).alias("value"))
+
+
+def preference_latest(records: DataFrame, text: str, by: Sequence[str], at: str, key: str) -> DataFrame:
+    """(by, who, preference, at, n_superseded): newest positive preference that a text states of someone.
+
+    Later statements supersede earlier ones, ties go to the greater key. Someone without a positive one has no row, and
+    neither have undated records.
+    """
+    said = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\b[A-Z][a-z]+ prefers [a-z ]+"), F.lit(0)))
+    m = records.where(F.col(at).isNotNull()).select(*by, at, key, said.alias("_s")).withColumn("_m", F.split("_s", " prefers "))
+    p = m.select(*by, at, key, F.col("_m")[0].alias("who"), F.trim(F.col("_m")[1]).alias("_w")).where("_m[1] NOT LIKE 'not %'")
+    return p.groupBy(*by, "who").agg(F.max_by("_w", F.struct(at, key, "_w")).alias("preference"), F.max(at).alias(at), (F.countDistinct("_w") - 1).alias("n_superseded"))

@@ -322,7 +322,10 @@ def holdout_ring(spark, d):
     return ev.holdout_ring(load(spark, d, "samples").select("sample_id", "dataset").distinct(), "sample_id", "dataset", "epoch-1")
 
 
-@query()
+@query("""WITH a AS (SELECT DISTINCT answer_id, sample_id, answer, extra.confidence AS conf FROM answers WHERE error IS NULL AND answer IS NOT NULL),
+g AS (SELECT sample_id, trim(regexp_replace(lower(answer), '\\s+', ' ', 'g')) AS a, count(*) AS votes, round(sum(conf), 6) AS conf, min(answer_id) AS seen FROM a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY votes DESC, conf DESC NULLS LAST, seen) AS r, sum(votes) OVER (PARTITION BY sample_id) AS total FROM g)
+SELECT sample_id, CASE WHEN votes >= 2 THEN a END AS answer, votes, round(votes / total, 6) AS support FROM r WHERE r = 1""")
 def debate_vote(spark, d):
     a = load(spark, d, "answers").where("error IS NULL AND answer IS NOT NULL").select("answer_id", "sample_id", "answer", F.col("extra.confidence").alias("confidence")).distinct()
     return ev.vote(a, ["sample_id"], "answer", "confidence", "answer_id")

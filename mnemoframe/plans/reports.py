@@ -84,9 +84,8 @@ def latency_p95_exclusive(spark, d):
     return rp.exclusive_percentile(run_log(spark, d), "system", "e2e_ms", 0.95).select("system", "n", F.round("value", 4).alias("p95"))
 
 
-@query(f"""WITH p AS (SELECT namespace, doc_id, text, valid_at FROM documents WHERE valid_at IS NOT NULL AND regexp_matches(text, '{content.CORE.replace("'", "''")}') AND NOT regexp_matches(text, '(?i)\\bi (hate|never)\\b'))
-SELECT namespace, arg_max(sha256(text), (valid_at, doc_id)) AS content_hash, max(valid_at) AS valid_at, count(*) - 1 AS n_superseded FROM p GROUP BY 1""")
+@query(r"""WITH m AS (SELECT namespace, doc_id, valid_at, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+ prefers [a-z ]+')) AS m FROM documents WHERE valid_at IS NOT NULL),
+p AS (SELECT namespace, doc_id, valid_at, split_part(m, ' prefers ', 1) AS who, trim(split_part(m, ' prefers ', 2)) AS what FROM m WHERE split_part(m, ' prefers ', 2) NOT LIKE 'not %')
+SELECT namespace, who, arg_max(what, (valid_at, doc_id, what)) AS preference, max(valid_at) AS valid_at, count(DISTINCT what) - 1 AS n_superseded FROM p GROUP BY ALL""")
 def preference_latest(spark, d):
-    """Newest positive preference of a namespace; one without any has no row."""
-    p = load(spark, d, "documents").where(F.col("valid_at").isNotNull() & F.col("text").rlike(content.CORE) & ~F.col("text").rlike(r"(?i)\bi (hate|never)\b"))
-    return p.groupBy("namespace").agg(F.max_by(F.sha2("text", 256), F.struct("valid_at", "doc_id")).alias("content_hash"), F.max("valid_at").alias("valid_at"), (F.count("*") - 1).alias("n_superseded"))
+    return rp.preference_latest(load(spark, d, "documents"), "text", ["namespace"], "valid_at", "doc_id")

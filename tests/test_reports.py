@@ -69,3 +69,10 @@ def test_exclusive_percentile(spark):
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None, math.nan]], "k string, v double")
     got = {r.k: r.value for r in rp.exclusive_percentile(df, "k", "v", 0.95).collect()}
     assert got["a"] == pytest.approx(statistics.quantiles(groups["a"], n=20)[18]) and got["c"] == pytest.approx(statistics.quantiles(groups["c"], n=20)[18]) and got["b"] == 3.0
+
+
+def test_preferences(spark):
+    rows = [(1, "n", 10, "Bo prefers tea. Al prefers not to talk."), (2, "n", 20, "Since May Bo prefers black coffee, and Al left."), (3, "n", None, "Bo prefers milk"), (4, "m", 5, None), (5, None, 1, "Cy prefers rain"), (5, None, 1, "Cy prefers rain")]
+    df = spark.createDataFrame(rows, "doc_id int, namespace string, valid_at int, text string").withColumn("who", F.lit("clash"))
+    assert {tuple(r) for r in rp.preference_latest(df, "text", ["namespace"], "valid_at", "doc_id").collect()} == {("n", "Bo", "black coffee", 20, 1), (None, "Cy", "rain", 1, 0)}
+    assert rp.preference_latest(df.limit(0), "text", ["namespace"], "valid_at", "doc_id").count() == 0
