@@ -1,9 +1,8 @@
-"""Most similar vectors by additive quantisation.
+"""Most similar vectors by exact search over pairs of blocks.
 
-A vector is the sum of one word of each of several full-dimensional codebooks, the later ones fitted on the residuals of
-the earlier. Beam search encodes; the words of the first codebook are the cells of the index. A query visits the cells
-of its nearest first words, scores their members by lookup tables over the codes and the stored norms, and ranks the
-best of them by exact dot products.
+The vectors of a model are cut into blocks of bounded size by hash, so no cluster of them is one task. Every block meets
+every block: dot products of 32-bit floats find what may be among the best, and 64-bit ones of those rank them. Blocks
+are read from where they are checkpointed and not shuffled a second time. The work is quadratic in the rows of a model.
 """
 
 from __future__ import annotations
@@ -12,17 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: The codebooks are fitted on at most about this many vectors of a model, chosen by hash; every vector is indexed.
-SAMPLE = 24_000
-BOOKS, WORDS, BEAM = 8, 256, 4
-CELL, MAX_CELLS, PROBES = 400, 4096, 8
-#: Cells with more members are split by the second code; queries visit so many of the parts.
-HOT, SUB_PROBES = 4_000, 4
-RERANK = 32
-_ROW = "model string, cell bigint, is_query boolean, vec_id bigint, norm float, codes binary, v binary"
+from mnemoframe.session import cut_lineage
+
+#: Size of a block's vectors.
+BLOCK_BYTES = 8 << 20
+#: Queries of one product, columns in a group whose greatest products bound the k-th best, and pairs ranked at once.
+QUERIES, GROUP, RANKED = 512, 64, 1 << 18
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -31,171 +28,88 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "model", "dim", "vec").where(fine).select("vec_id", "model", "vec")
 
 
-def _nearest(x: np.ndarray, words: np.ndarray, k: int = 1) -> np.ndarray:
-    """Indices of the k nearest words of each row, nearest first."""
-    out = np.empty((len(x), k), dtype=np.int64)
-    half = (words**2).sum(1) / 2
-    for i in range(0, len(x), 2048):
-        s = half - x[i : i + 2048] @ words.T
-        if k == 1:
-            out[i : i + 2048, 0] = s.argmin(1)
-        else:
-            part = np.argpartition(s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            out[i : i + 2048] = np.take_along_axis(part, np.take_along_axis(s, part, 1).argsort(1), 1)
-    return out
-
-
-def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    words = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
-    for _ in range(rounds):
-        at = _nearest(x, words)[:, 0]
-        n = np.bincount(at, minlength=k)
-        order = np.argsort(at, kind="stable")
-        starts = np.searchsorted(at[order], np.flatnonzero(n))
-        words[n > 0] = np.add.reduceat(x[order], starts, axis=0) / n[n > 0, None]
-    return words.astype(np.float32)
-
-
-def fit_books(sample: np.ndarray, n: int) -> list[np.ndarray]:
-    """Codebooks for n unit vectors: the first with about n / CELL words, then BOOKS - 1 of at most WORDS on residuals."""
-    rng = np.random.default_rng(7)
-    first = int(np.clip(2 ** round(np.log2(max(1, n / CELL))), 1, min(MAX_CELLS, len(sample))))
-    books, rest = [], sample
-    for b in range(BOOKS):
-        words = _kmeans(rest, first if b == 0 else min(WORDS, len(sample)), 6 if b == 0 else 4, rng)
-        books.append(words)
-        rest = rest - words[_nearest(rest, words)[:, 0]]
-    return books
-
-
-def encode(x: np.ndarray, books: list[np.ndarray], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, norms of the sums of words): beam search over the codebooks, keeping the beam's nearest partial sums."""
-    n, d = x.shape
-    width = min(beam, len(books[0]))
-    start = _nearest(x, books[0], width)
-    codes, rest = start[:, :, None], x[:, None, :] - books[0][start]
-    for words in books[1:]:
-        k = min(beam, len(words))
-        s = (rest**2).sum(2)[:, :, None] - 2 * rest @ words.T + (words**2).sum(1)
-        flat = s.reshape(n, -1)
-        keep = min(k, flat.shape[1])
-        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-        best = np.take_along_axis(best, np.take_along_axis(flat, best, 1).argsort(1), 1)
-        old, new = best // len(words), best % len(words)
-        rows = np.arange(n)[:, None]
-        codes = np.concatenate([codes[rows, old], new[:, :, None]], axis=2)
-        rest = rest[rows, old] - words[new]
-    return codes[:, 0], np.linalg.norm(x - rest[:, 0], axis=1)
-
-
 def _unit(vecs: pd.Series) -> np.ndarray:
     x = np.stack(vecs.to_list()).astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _cells(x: np.ndarray, first: np.ndarray, second: np.ndarray, hot: set[int], words: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
-    """Cell numbers; members of hot cells go by their second word too."""
-    cell = first.astype(np.int64)
-    is_hot = np.isin(first, list(hot))
-    return np.where(is_hot, (first + 1) * 1_000_000 + second, cell)
+def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, cos): the k best items of each query, itself left out, of cosine least or more; ties by the smaller id."""
+    slack = 2 * (q.shape[1] + 4) * 2.0**-24  # twice the rounding of a dot product of 32-bit floats
+    groups = len(x) // GROUP
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(q), QUERIES):
+        s = q[i : i + QUERIES] @ x.T
+        bound = np.full(len(s), least)
+        if groups > k:
+            # The greatest products of groups are products of different items, so the k-th best item reaches their
+            # (k + 1)-th, the query itself being one of them.
+            top = s[:, : groups * GROUP].reshape(len(s), GROUP, groups).max(1)
+            bound = np.maximum(bound, np.partition(top, groups - k - 1, axis=1)[:, groups - k - 1])
+        at, item = np.nonzero(s >= (bound - slack)[:, None].astype(np.float32))
+        ends = np.searchsorted(at, np.arange(len(s) + 1))
+        a = 0
+        while a < len(s):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + RANKED, side="right")) - 1)
+            r, c = at[ends[a] : ends[b]], item[ends[a] : ends[b]]
+            cos = (q[i + r].astype(np.float64) * x[c]).sum(1)
+            keep = (cos >= least) & (qid[i + r] != ids[c])
+            r, c, cos = r[keep], c[keep], cos[keep]
+            order = np.lexsort((ids[c], -cos, r))
+            r, c, cos = r[order], c[order], cos[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append((qid[i + r[keep]], ids[c[keep]], cos[keep]))
+            a = b
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:
+    """(model, a, b, cos): for each query a its k best members b of each block, of cosine least or more."""
+    spark = df.sparkSession
+    good = usable(df).withColumn("dim", F.size("vec")).dropDuplicates(["model", "dim", "vec_id"])
+    # One row per model.
+    sizes = usable(df).groupBy("model", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") * F.col("dim") * 4 / BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
 
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        one = g.iloc[0]
+        return pd.DataFrame({"model": [one["model"]], "dim": [one["dim"]], "ids": [g["vec_id"].to_numpy(np.int64).tobytes()], "v": [_unit(g["vec"]).tobytes()]})
 
-def search_cells(df: DataFrame, least: float, k: int) -> DataFrame:
-    """(model, a, b, cos): candidates, for each query a its k best members b of each cell visited, of cosine least or more."""
-    spark = df.sparkSession
-    good = usable(df)
-    counts = {r["model"]: r["n"] for r in good.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
-    share = F.create_map(*[x for m, n in counts.items() for x in (F.lit(m), F.lit(min(1.0, SAMPLE / n)))]) if counts else F.lit(None)
-    index: dict[str, tuple[list[np.ndarray], set[int]]] = {}
-    if counts:
-        picked = good.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1_000_000)) < share[F.col("model")] * 1_000_000)
-        for m, part in picked.toPandas().groupby("model"):
-            x = _unit(part["vec"])
-            books = fit_books(x, counts[m])
-            # Sizes of cells are estimated on the sample to see which ones need a split.
-            size = np.bincount(_nearest(x, books[0])[:, 0], minlength=len(books[0])) * (counts[m] / len(x))
-            index[m] = (books, set(np.flatnonzero(size > HOT).tolist()))
-        for m in counts.keys() - index.keys():
-            x = _unit(good.where(F.col("model") == m).limit(1000).toPandas()["vec"])
-            index[m] = (fit_books(x, counts[m]), set())
-    shared = spark.sparkContext.broadcast(index)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    placed = good.join(F.broadcast(sizes.drop("n")), ["model", "dim"]).select("model", "dim", block.alias("block"), "vec_id", "vec")
+    blocks = cut_lineage(placed.groupBy("model", "dim", "block").applyInPandas(pack, "model string, dim int, ids binary, v binary"))
+
+    def read(b: Row) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b["ids"], dtype=np.int64), np.frombuffer(b["v"], dtype=np.float32).reshape(-1, b["dim"])
+
+    def match(pairs: Iterator[tuple[Row, Row]]) -> Iterator[tuple[str, bytes, bytes, bytes]]:
+        for left, right in pairs:
+            if (left["model"], left["dim"]) == (right["model"], right["dim"]):
+                (qid, q), (ids, x) = read(left), read(right)
+                a, b, cos = best_of(q, qid, x, ids, least, k)
+                yield left["model"], a.tobytes(), b.tobytes(), cos.tobytes()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for m, b in batch.groupby("model"):
-                books, hot = shared.value[m]
-                x = _unit(b["vec"])
-                ids = b["vec_id"].to_numpy()
-                codes, norms = encode(x, books)
-                probes = _nearest(x, books[0], min(PROBES, len(books[0])))
-                # Codes of other books than the first fit a byte; the first is the cell.
-                rest = codes[:, 1:].astype(np.uint8)
-                yield pd.DataFrame({
-                    "model": m, "cell": _cells(x, codes[:, 0], codes[:, 1], hot, None, books), "is_query": False, "vec_id": ids, "norm": norms.astype(np.float32),
-                    "codes": [codes[i, :1].astype(np.int32).tobytes() + rest[i].tobytes() for i in range(len(x))], "v": [r.tobytes() for r in x],
-                })
-                small = [r.tobytes() for r in x.astype(np.float16)]
-                rows = [(int(probes[i, j]), i) for i in range(len(x)) for j in range(probes.shape[1])]
-                cell = np.array([c for c, _ in rows], dtype=np.int64)
-                at = np.array([i for _, i in rows], dtype=np.int64)
-                if hot:
-                    is_hot = np.isin(cell, list(hot))
-                    sub = _nearest(x[at[is_hot]] - books[0][cell[is_hot]], books[1], min(SUB_PROBES, len(books[1]))) if is_hot.any() else np.zeros((0, 1), dtype=np.int64)
-                    parts = ((cell[is_hot][:, None] + 1) * 1_000_000 + sub).ravel()
-                    at = np.concatenate([at[~is_hot], np.repeat(at[is_hot], sub.shape[1])])
-                    cell = np.concatenate([cell[~is_hot], parts])
-                yield pd.DataFrame({"model": m, "cell": cell, "is_query": True, "vec_id": ids[at], "norm": np.float32(0), "codes": b"", "v": [small[i] for i in at]})
-
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["is_query", "vec_id"])
-        items, asked = g[~g["is_query"]], g[g["is_query"]]
-        out = []
-        if len(items) and len(asked):
-            books, _ = shared.value[g["model"].iloc[0]]
-            d = books[0].shape[1]
-            x = np.frombuffer(b"".join(items["v"]), dtype=np.float32).reshape(len(items), d)
-            raw = np.frombuffer(b"".join(items["codes"]), dtype=np.uint8).reshape(len(items), -1)
-            first = np.ascontiguousarray(raw[:, :4]).view(np.int32)[:, 0]
-            rest = raw[:, 4:].astype(np.int64)
-            norms, ids = items["norm"].to_numpy(), items["vec_id"].to_numpy()
-            for i in range(0, len(asked), 512):
-                part = asked.iloc[i : i + 512]
-                q = np.frombuffer(b"".join(part["v"]), dtype=np.float16).reshape(len(part), d).astype(np.float32)
-                qid = part["vec_id"].to_numpy()
-                heads, inv = np.unique(first, return_inverse=True)
-                s = (q @ books[0][heads].T)[:, inv]
-                for b in range(rest.shape[1]):
-                    s += (q @ books[b + 1].T)[:, rest[:, b]]
-                s /= np.maximum(norms, 1e-6)
-                r = min(RERANK, len(items))
-                near = np.argpartition(-s, r - 1, axis=1)[:, :r]
-                cos = np.einsum("qd,qrd->qr", q, x[near])
-                cos[(ids[near] == qid[:, None]) | (cos < least)] = -2
-                order = np.lexsort((ids[near], -cos), axis=1)[:, :k]
-                near, cos = np.take_along_axis(near, order, 1), np.take_along_axis(cos, order, 1)
-                row, col = np.nonzero(cos > -2)
-                out.append(pd.DataFrame({"model": g["model"].iloc[0], "a": qid[row], "b": ids[near[row, col]], "cos": cos[row, col].astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"model": [], "a": [], "b": [], "cos": []})
-
-    placed = good.mapInPandas(place, _ROW)
-    return placed.groupBy("model", "cell").applyInPandas(match, "model string, a bigint, b bigint, cos double")
+            for r in batch.itertuples():
+                yield pd.DataFrame({"model": r.model, "a": np.frombuffer(r.a, dtype=np.int64), "b": np.frombuffer(r.b, dtype=np.int64), "cos": np.frombuffer(r.cos, dtype=np.float64)})
 
+    rdd = blocks.rdd
+    found = spark.createDataFrame(rdd.cartesian(rdd).mapPartitions(match), "model string, a binary, b binary, cos binary")
+    return found.mapInPandas(rows, "model string, a bigint, b bigint, cos double")
 
-def similar_pairs(df: DataFrame, least: float = 0.85, k: int = 5) -> DataFrame:
-    """(vec_id_a, vec_id_b): pairs of one model of cosine least or more, one among the other's k most similar.
 
-    Vectors equal in similarity rank by vec_id. Rows that are misses never appear; repeated rows count once. The search
-    is approximate in which cells it visits; similarities of what it finds are dot products of the vectors, one of them
-    rounded to 16 bits.
+def most_similar(df: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame:
+    """(model, vec_id, rank, neighbour, cos): the k most similar vectors of every vector, of cosine least or more.
+
+    Vectors equal in similarity rank by vec_id. Rows that are misses never appear; repeated rows count once.
     """
     w = Window.partitionBy("model", "a").orderBy(F.col("cos").desc(), "b")
-    best = search_cells(df, least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select(F.least("a", "b").alias("vec_id_a"), F.greatest("a", "b").alias("vec_id_b")).distinct()
+    best = search_blocks(df, least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("model", F.col("a").alias("vec_id"), "rank", F.col("b").alias("neighbour"), "cos")
 
 
-def most_similar(df: DataFrame, k: int = 5) -> DataFrame:
-    """(model, vec_id, rank, neighbour, cos): the k most similar vectors of every vector."""
-    w = Window.partitionBy("model", "a").orderBy(F.col("cos").desc(), "b")
-    best = search_cells(df, -1.0, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("model", F.col("a").alias("vec_id"), "rank", F.col("b").alias("neighbour"), "cos")
+def similar_pairs(df: DataFrame, least: float = 0.85, k: int = 5) -> DataFrame:
+    """(vec_id_a, vec_id_b): pairs of one model of cosine least or more, one among the other's k most similar."""
+    best = most_similar(df, k, least)
+    return best.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()

@@ -131,6 +131,24 @@ def test_vectors_against_brute_force(spark):
     assert vectors.similar_pairs(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_vectors_in_one_dense_cluster(spark, monkeypatch):
+    """A third of the rows lie in one cluster, and there are many more cells than a fixed number of visits."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 100_000, raising=False)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9000, 16)).astype(np.float32)
+    x[:3000] = rng.normal(size=16) + 0.45 * x[:3000]
+    got = {(r.vec_id_a, r.vec_id_b) for r in vectors.similar_pairs(spark.createDataFrame([(i, "m", 16, v.tolist(), "", "") for i, v in enumerate(x)], VEC)).collect()}
+    u = vectors._unit(__import__("pandas").Series(list(x))).astype(np.float64)
+    true = set()
+    for i, v in enumerate(u):
+        s = u @ v
+        s[i] = -2
+        true |= {(min(i, int(j)), max(i, int(j))) for j in np.lexsort((np.arange(len(s)), -s))[:5] if s[j] >= 0.85}
+    assert got == true
+
+
 def test_overlap(spark):
     base = {"dataset": "d", "question": "When did Nomon Sigohiga hand the woven lamp over to Jotte Denemabo in Nefedorf?", "gold": "25 April 2024"}
     other = [{"sample_id": f"f{i}", "dataset": "d", "split": "train", "question": f"When did Person{i} Family{i} hand the woven lamp over to Other{i} Name{i} in Town{i}?", "gold": "25 April 2024"} for i in range(30)]
