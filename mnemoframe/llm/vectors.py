@@ -35,26 +35,33 @@ def _unit(vecs: pd.Series) -> np.ndarray:
 
 
 def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, item, cos): the k best items of each query, itself left out, of cosine least or more; ties by the smaller id."""
+    """(query, item, cos): the k best items of each query, of cosine least or more; ties by the smaller id."""
     slack = 2 * (q.shape[1] + 4) * 2.0**-24  # twice the rounding of a dot product of 32-bit floats
-    groups = len(x) // GROUP
+    n, groups = len(x), -(-len(x) // GROUP)
+    room = np.full((min(QUERIES, len(q)), groups * GROUP), -4, dtype=np.float32)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(0, len(q), QUERIES):
-        s = q[i : i + QUERIES] @ x.T
+        part = q[i : i + QUERIES]
+        s = room[: len(part)]
+        np.matmul(part, x.T, out=s[:, :n])
+        # Item c is in group c % groups. The greatest products of groups are products of different items, so the k-th
+        # best item reaches the k-th of them.
+        top = s.reshape(len(s), GROUP, groups).max(1)
         bound = np.full(len(s), least)
         if groups > k:
-            # The greatest products of groups are products of different items, so the k-th best item reaches their
-            # (k + 1)-th, the query itself being one of them.
-            top = s[:, : groups * GROUP].reshape(len(s), GROUP, groups).max(1)
-            bound = np.maximum(bound, np.partition(top, groups - k - 1, axis=1)[:, groups - k - 1])
-        at, item = np.nonzero(s >= (bound - slack)[:, None].astype(np.float32))
+            bound = np.maximum(bound, np.partition(top, groups - k, axis=1)[:, groups - k])
+        bound = (np.maximum(bound, -2) - slack).astype(np.float32)
+        at, group = np.nonzero(top >= bound[:, None])
         ends = np.searchsorted(at, np.arange(len(s) + 1))
         a = 0
         while a < len(s):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + RANKED, side="right")) - 1)
-            r, c = at[ends[a] : ends[b]], item[ends[a] : ends[b]]
-            cos = (q[i + r].astype(np.float64) * x[c]).sum(1)
-            keep = (cos >= least) & (qid[i + r] != ids[c])
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + RANKED // GROUP, side="right")) - 1)
+            r, g = at[ends[a] : ends[b]], group[ends[a] : ends[b]]
+            c = g[:, None] + groups * np.arange(GROUP)
+            m, inner = np.nonzero(s[r[:, None], c] >= bound[r, None])
+            r, c = r[m], c[m, inner]
+            cos = (part[r].astype(np.float64) * x[c]).sum(1)
+            keep = cos >= least
             r, c, cos = r[keep], c[keep], cos[keep]
             order = np.lexsort((ids[c], -cos, r))
             r, c, cos = r[order], c[order], cos[order]
@@ -64,10 +71,26 @@ def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, leas
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """The usable rows, with dim and a key of 128 bits by which exact copies of a vector agree."""
+    return usable(df).select("model", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("copy"), "vec").alias("h2"), "vec_id", "vec")
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    """(model, rep, vec_id) of the vectors of which there are several; rep is the smallest vec_id."""
+    key = ["model", "dim", "h1", "h2"]
+    ids = _keyed(df).select(*key, "vec_id")
+    several = ids.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last")).where("rep < last").drop("last")
+    return ids.join(several, key).select("model", "rep", "vec_id").distinct()
+
+
 def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:
-    """(model, a, b, cos): for each query a its k best members b of each block, of cosine least or more."""
+    """(model, a, b, cos): for each query a its k best members b of each block, of cosine least or more.
+
+    Exact copies are one query and one member, under the smallest vec_id; a query is a member too.
+    """
     spark = df.sparkSession
-    good = usable(df).withColumn("dim", F.size("vec")).dropDuplicates(["model", "dim", "vec_id"])
+    good = _keyed(df).groupBy("model", "dim", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.any_value("vec").alias("vec"))
     # One row per model.
     sizes = usable(df).groupBy("model", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") * F.col("dim") * 4 / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
@@ -102,11 +125,19 @@ def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:
 def most_similar(df: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame:
     """(model, vec_id, rank, neighbour, cos): the k most similar vectors of every vector, of cosine least or more.
 
-    Vectors equal in similarity rank by vec_id. Rows that are misses never appear; repeated rows count once.
+    Vectors equal in similarity rank by vec_id. Rows that are misses never appear; repeated rows count once. Of the copies
+    of a vector only the k + 1 smallest vec_ids can be anyone's neighbours.
     """
     w = Window.partitionBy("model", "a").orderBy(F.col("cos").desc(), "b")
-    best = search_blocks(df, least, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("model", F.col("a").alias("vec_id"), "rank", F.col("b").alias("neighbour"), "cos")
+    ranked = lambda d, n: d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    copies = _copies(df)
+    first = copies.withColumn("i", F.row_number().over(Window.partitionBy("model", "rep").orderBy("vec_id"))).where(F.col("i") <= k + 1)
+    first = first.groupBy("model", F.col("rep").alias("b")).agg(F.collect_list("vec_id").alias("same"))
+    near = ranked(search_blocks(df, least, k + 1), k + 1).drop("rank")
+    near = near.join(first, ["model", "b"], "left").select("model", "a", F.explode(F.coalesce("same", F.array("b"))).alias("b"), "cos")
+    near = ranked(near, k + 1).drop("rank")
+    near = near.join(copies.withColumnRenamed("rep", "a"), ["model", "a"], "left").select("model", F.coalesce("vec_id", "a").alias("a"), "b", "cos")
+    return ranked(near.where("a <> b"), k).select("model", F.col("a").alias("vec_id"), "rank", F.col("b").alias("neighbour"), "cos")
 
 
 def similar_pairs(df: DataFrame, least: float = 0.85, k: int = 5) -> DataFrame:

@@ -149,6 +149,20 @@ def test_vectors_in_one_dense_cluster(spark, monkeypatch):
     assert got == true
 
 
+def test_copies_of_a_vector(spark, monkeypatch):
+    """Copies under other vec_ids rank by vec_id, and a model of few vectors with negative cosines keeps them all."""
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1000, raising=False)
+    ids = [(i * 37) % 101 for i in range(101)]
+    rows = [(i, "m", 2, [1.0, 0.5], "", "") for i in ids] + [(500, "m", 2, [1.0, 0.6], "", ""), (3, "n", 2, [1.0, 0.0], "", ""), (4, "n", 2, [-1.0, 0.0], "", "")]
+    df = spark.createDataFrame(rows, VEC)
+    got = {}
+    for r in vectors.most_similar(df).orderBy("rank").collect():
+        got.setdefault((r.model, r.vec_id), []).append(r.neighbour)
+    want = {("m", i): [j for j in range(6) if j != i][:5] for i in [*ids, 500]} | {("n", 3): [4], ("n", 4): [3]}
+    assert got == want
+    assert vectors.similar_pairs(df).count() == len({(min(i, j), max(i, j)) for (m, i), near in want.items() if m == "m" for j in near})
+
+
 def test_overlap(spark):
     base = {"dataset": "d", "question": "When did Nomon Sigohiga hand the woven lamp over to Jotte Denemabo in Nefedorf?", "gold": "25 April 2024"}
     other = [{"sample_id": f"f{i}", "dataset": "d", "split": "train", "question": f"When did Person{i} Family{i} hand the woven lamp over to Other{i} Name{i} in Town{i}?", "gold": "25 April 2024"} for i in range(30)]
