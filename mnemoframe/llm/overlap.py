@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from mnemoframe.functions.text import norm_words, plain_text
 from mnemoframe.session import cut_lineage
 
-THRESHOLD = 0.6
+THRESHOLD = 0.45
 #: A term in more than this share of the questions is joined by broadcast: with words once per question there can't be
 #: more such terms than the mean number of words divided by the share.
 COMMON = 0.01
+#: Words in less than this share of the questions all weigh the same, so that the cosine of a pair doesn't fall as others
+#: are added and its own rare words grow rarer.
+RAREST = 1 / 5000
 #: A word of so many questions is an established one, and no slip of another.
 ESTABLISHED = 3
 
@@ -58,7 +61,7 @@ def _vectors(classes: DataFrame, total: int) -> DataFrame:
     common = F.broadcast(vocabulary.where(F.col("df") > COMMON * total))
     rare = rows.join(common.select("term"), "term", "left_anti").join(vocabulary.where(F.col("df") <= COMMON * total), "term")
     known = rows.join(common, "term").unionByName(rare)
-    weight = F.log(F.lit(float(total + 1)) / F.col("df")) + 0.05
+    weight = F.least(F.log(F.lit(float(total + 1)) / F.col("df")), -F.log(F.lit(RAREST))) + 0.05
     v = known.groupBy("class", "key").agg(F.sort_array(F.collect_list(F.struct(weight.alias("w"), "term", "df", "entity")), False).alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     v = v.withColumn("norm", norm)

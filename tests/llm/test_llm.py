@@ -176,6 +176,27 @@ def test_overlap(spark):
     assert overlap.overlap_counts(samples(spark, [])).count() == 0
 
 
+def test_overlap_of_rewritten_questions(spark):
+    """Two of four rare words replaced by unseen ones: a cosine of about a half, and most words shared."""
+    base = {"dataset": "d", "gold": "25 April 2024"}
+    other = [base | {"sample_id": f"f{i}", "split": "train", "question": f"When did Person{i} hand the woven lamp over to Other{i}?"} for i in range(300)]
+    rows = [base | {"sample_id": f"{split}{i}", "split": split, "question": f"When did Zanobi{x} of Tenno{x} hand the woven lamp over to {w}{x}?"} for i, x in enumerate("xyz") for split, w in (("train", "people nearby"), ("test", "everybody there"))]
+    got = {(r.sample_id_a, r.sample_id_b) for r in overlap.overlapping_pairs(samples(spark, rows + other)).collect()}
+    assert got == {(f"test{i}", f"train{i}") for i in range(3)}
+
+
+def test_overlap_cosine_does_not_depend_on_size(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "RAREST", 1 / 50, raising=False)
+
+    def cosine(n):
+        words = [["when", "did", "zanobi", "hand", "it"], ["when", "did", "zanobi", "throw", "it"], *[["when", f"w{i}", "it"] if i % 2 else ["did", f"w{i}"] for i in range(n)]]
+        classes = spark.createDataFrame([(i, "k", w, " ".join(w), "k") for i, w in enumerate(words)], "class bigint, key string, words array<string>, question string, gold string")
+        a, b = ({x["term"]: x["w"] for x in r["vec"]} for r in overlap._vectors(classes, len(words)).where("class < 2").orderBy("class").collect())
+        return sum(w * b.get(t, 0) for t, w in a.items())
+
+    assert abs(cosine(200) - cosine(2000)) < 0.004
+
+
 ANSWER = "answer_id bigint, system string, run_day string, error string, search_ms double, e2e_ms double, context_tokens int, metric string, value string"
 
 
