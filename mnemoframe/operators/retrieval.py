@@ -15,6 +15,17 @@ from mnemoframe.session import cut_lineage
 #: Words too common to seed a recall (this library's choice).
 STOP_WORDS = "the and for that this with from was were are has have had but not you your his her its they them who what when where which why how all any can will would than then there into over been before after about until".split()
 
+#: Spellings of units, by family and unit.
+UNITS = {
+    "mass": {"pound": ["pound", "pounds", "lb", "lbs"], "ounce": ["ounce", "ounces", "oz"], "kilogram": ["kilogram", "kilograms", "kg"], "gram": ["gram", "grams", "g"]},
+    "distance": {"mile": ["mile", "miles"], "kilometer": ["kilometer", "kilometers", "kilometre", "kilometres", "km"], "meter": ["meter", "meters", "metre", "metres"], "foot": ["foot", "feet"]},
+    "volume": {"liter": ["liter", "liters", "litre", "litres"], "milliliter": ["milliliter", "milliliters", "ml"], "gallon": ["gallon", "gallons"], "cup": ["cup", "cups"]},
+    "duration": {"minute": ["minute", "minutes", "min", "mins"], "hour": ["hour", "hours"], "day": ["day", "days"], "week": ["week", "weeks"], "month": ["month", "months"], "year": ["year", "years"]},
+    "money": {"coin": ["coin", "coins"]},
+}
+#: A number with all before it up to white space, and the word after it; numbers with a currency sign or part of a name don't count.
+AMOUNT, NUMBER = r"\S{0,24}\d\s?[a-z]+", r"^[\(\[\"'*]*(\d+(?:,\d\d\d)*(?:\.\d+)?)\s?[a-z]+$"
+
 
 def reflex_tokens(c: Column) -> Column:
     """Lower-case words of three letters or more without stop words, each once."""
@@ -46,6 +57,16 @@ def scratchpad(records: DataFrame, salience: str, helpful: str, key: str, text:
     return top.select(key, F.substring(text, 1, 240).alias("snippet"), F.bround(salience, 3).alias("salience"))
 
 
+def measure_sum(texts: DataFrame, scope: str, session: str, text: str) -> DataFrame:
+    """(scope, family, unit, n_amounts, n_sessions, total): every amount with a unit of the texts, summed over the sessions of a scope."""
+    spelled = F.create_map(*[F.lit(x) for family, units in UNITS.items() for unit, words in units.items() for w in words for x in (w, f"{family} {unit}")])
+    found = texts.select(scope, session, F.explode(F.regexp_extract_all(F.lower(text), F.lit(AMOUNT), F.lit(0))).alias("m"))
+    found = found.withColumn("x", F.regexp_extract("m", NUMBER, 1)).where("x <> ''").withColumn("u", F.split(spelled[F.regexp_extract("m", "[a-z]+$", 0)], " ")).where("u IS NOT NULL")
+    keys = [F.col(scope), F.get("u", F.lit(0)).alias("family"), F.get("u", F.lit(1)).alias("unit")]
+    total = F.round(F.sum(F.regexp_replace("x", ",", "").cast("double")), 6)
+    return found.groupBy(*keys).agg(F.count("*").alias("n_amounts"), F.countDistinct(session).alias("n_sessions"), total.alias("total"))
+
+
 def rocchio(query: Column, relevant: DataFrame, group: str, vec: str, alpha: float = 1.0, beta: float = 0.6) -> DataFrame:
     """(group, pos, x): alpha * query + beta * mean of the relevant vectors, scaled to length 1, one row per dimension."""
     d = relevant.select(group, query.alias("_q"), F.posexplode(vec).alias("pos", "x"))

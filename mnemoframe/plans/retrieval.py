@@ -182,6 +182,26 @@ def multi_session_sum(spark, d):
     return t.groupBy("session_id").agg(F.sum(F.regexp_extract(F.lower("content"), r"(\d+) minutes", 1).cast("bigint")).alias("minutes"))
 
 
+_UNITS = ", ".join(f"('{w}', '{family}', '{unit}')" for family, units in rt.UNITS.items() for unit, words in units.items() for w in words)
+_AMOUNT, _NUMBER = (r.replace("'", "''") for r in (rt.AMOUNT, rt.NUMBER))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT turn_id AS id, namespace, session_id, content FROM turns UNION ALL SELECT DISTINCT doc_id, namespace, NULL, text FROM documents),
+m AS (SELECT namespace, session_id, unnest(regexp_extract_all(lower(content), '{_AMOUNT}')) AS m FROM t),
+x AS (SELECT namespace, session_id, regexp_extract(m, '{_NUMBER}', 1) AS x, regexp_extract(m, '[a-z]+$') AS w FROM m), u(w, family, unit) AS (VALUES {_UNITS})
+SELECT namespace, family, unit, count(*) AS n_amounts, count(DISTINCT session_id) AS n_sessions, round(sum(CAST(replace(x, ',', '') AS DOUBLE)), 6) AS total FROM x JOIN u USING (w) WHERE x <> '' GROUP BY ALL""")
+def measure_sum(spark, d):
+    t = load(spark, d, "turns").select(F.col("turn_id").alias("id"), "namespace", "session_id", "content").distinct()
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "namespace", F.lit(None).cast("string").alias("session_id"), F.col("text").alias("content")).distinct()
+    return rt.measure_sum(t.unionByName(docs), "namespace", "session_id", "content")
+
+
+@query("SELECT c_mktsegment, n_name, round(sum(c_acctbal), 2) AS cell FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def table_lookup_all(spark, d):
+    c, n = load(spark, d, "customer"), load(spark, d, "nation")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_mktsegment", "n_name").agg(F.round(F.sum("c_acctbal"), 2).alias("cell"))
+
+
 @query("SELECT turn_id, CAST(floor(length(content) / 4) AS BIGINT) AS n_tokens FROM (SELECT DISTINCT turn_id, content FROM turns WHERE content IS NOT NULL)")
 def approx_tokens(spark, d):
     t = load(spark, d, "turns").where("content IS NOT NULL").select("turn_id", "content").distinct()

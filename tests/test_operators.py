@@ -188,3 +188,12 @@ def test_translation_scores(spark):
         start = rt.translation_scores(df, epochs=0, block_rows=block).toPandas()
         assert got["score"].mean() > 2 * start["score"].mean()
     assert rt.translation_scores(df.limit(0)).count() == 0
+
+
+def test_measure_sum(spark):
+    from mnemoframe.operators import retrieval
+
+    texts = [("a", "s1", "I bought 40 pounds of feed and 1,000.5 coins, then 2 miles 3 miles."), ("a", "s2", "Another 30 lbs, a $28 coins voucher, item ho30 cups."), ("b", "s3", "It weighed 1 pound (5kg)."), ("b", None, None)]
+    df = spark.createDataFrame(texts, "ns string, session string, text string")
+    got = {(r.ns, r.family, r.unit): (r.n_amounts, r.n_sessions, r.total) for r in retrieval.measure_sum(df, "ns", "session", "text").collect()}
+    assert got == {("a", "mass", "pound"): (2, 2, 70.0), ("a", "money", "coin"): (1, 1, 1000.5), ("a", "distance", "mile"): (2, 1, 5.0), ("b", "mass", "pound"): (1, 1, 1.0), ("b", "mass", "kilogram"): (1, 1, 5.0)}
