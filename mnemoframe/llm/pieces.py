@@ -38,26 +38,32 @@ def split_oversized(df: DataFrame, id_col: str = "turn_id", text: str = "content
     Each piece is within the limit; piece n > 0 begins with the overlap's characters before new_from; texts of pieces
     from new_from on, put together, are the content again. forced is 1 if one stretch without white space or 。！？ is
     itself over the limit. Texts within the limit, empty and NULL texts and NULL ids give no row. Repeated rows give
-    one row; rows of one id with different texts give one each. Work grows with the length of a text, at any length.
+    one row; rows of one id with different texts give one each. A text is matched once, and each piece costs its own
+    length, so work grows with the length of a text.
     """
     back = overlap * CHARS_PER_TOKEN
     room = max_chars(limit) - back
+    if room < 1:
+        raise ValueError("the overlap must leave room within the limit")
+    few = 2 * -(-back // max(1, room - 1))
     d = df.select(F.col(id_col), F.col(text).alias("_t")).where(F.col(id_col).isNotNull() & oversized(F.col("_t"), limit))
-    d = d.withColumn("_parts", F.regexp_extract_all("_t", F.lit(parts_pattern(room)), F.lit(0)))
-    # Offsets of the parts: one pass over their lengths.
-    ends = F.aggregate("_parts", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    d = d.withColumn("_at", ends)
-    pieces = F.transform(
-        "_parts",
-        lambda x, i: F.struct(
-            i.alias("piece_no"),
-            F.greatest(F.lit(0), F.get("_at", i) - back).alias("start"),
-            F.get("_at", i).alias("new_from"),
-            F.concat(F.substring("_t", F.greatest(F.lit(1), F.get("_at", i) - back + 1), F.least(F.lit(back), F.get("_at", i))), x).alias("text"),
-        ),
-    )
+
+    def pieces(parts: Column) -> Column:
+        # Offsets of the parts: one pass over their lengths.
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+
+        def of(at: Column) -> Column:
+            # A part of less than half of the room comes before a stretch without a boundary, which fills the rest of the
+            # room: each two parts fill it, so few parts hold the overlap, and the text isn't searched from its start.
+            before = lambda i: F.right(F.concat(*[F.coalesce(F.get(parts, i - k), F.lit("")) for k in range(few, 0, -1)]), F.lit(back))
+            return F.transform(parts, lambda x, i: F.struct(i.alias("piece_no"), (F.get(at, i) - F.least(F.lit(back), F.get(at, i))).alias("start"), F.get(at, i).alias("new_from"), (F.concat(before(i), x) if back else x).alias("text")))
+
+        return F.flatten(F.transform(F.array(ends), of))
+
+    # Lists of one bind the parts and their offsets, so that no piece works them out again.
+    cut = F.flatten(F.transform(F.array(F.regexp_extract_all("_t", F.lit(parts_pattern(room)), F.lit(0))), pieces))
     stretch = F.col("_t").rlike(r"[^\s\p{Z}\x{1c}-\x{1f}\x{85}。！？]{" + str(max_chars(limit) + 1) + "}")
-    return d.select(id_col, stretch.cast("int").alias("forced"), pieces.alias("pieces"))
+    return d.select(id_col, stretch.cast("int").alias("forced"), cut.alias("pieces"))
 
 
 def piece_rows(df: DataFrame, id_col: str = "turn_id", text: str = "content", limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:

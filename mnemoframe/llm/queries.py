@@ -45,6 +45,17 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.piece_rows(load(spark, d, "turns"))
 
 
+@query
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized content put together from what is new in its pieces, as a hash."""
+    cut = pieces.split_oversized(load(spark, d, "turns"))
+    fresh = F.transform("pieces", lambda p: F.substring(p["text"], p["new_from"] - p["start"] + 1, F.length(p["text"])))
+    return cut.select("turn_id", F.sha2(F.array_join(fresh, ""), 256).alias("content_hash"), F.size("pieces").alias("n_pieces")).distinct().select("turn_id", "content_hash", (F.col("n_pieces") > 1).alias("cut"))
+
+
+ORACLES["p2_rebuilt"] = "SELECT DISTINCT turn_id, sha256(content) AS content_hash, true AS cut FROM turns WHERE floor(length(content) / 4) > 400"
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.outlying_days(load(spark, d, "answers"))

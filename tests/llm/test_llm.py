@@ -82,6 +82,22 @@ def test_pieces_round_trip(spark):
     assert pieces.oversized_turns(spark.createDataFrame([], TURN)).count() == 0
 
 
+def test_pieces_of_other_sizes(spark):
+    """Overlaps longer than a part, none at all, and a text of a megabyte."""
+    rnd = random.Random(9)
+    text = "".join(rnd.choice(["alpha ", "beta. ", "gam, ", "x", "\n"]) for _ in range(5000))
+    df = spark.createDataFrame([(1, text, "")], TURN)
+    for limit, overlap in ((50, 40), (50, 0), (400, 40)):
+        rows = pieces.piece_rows(df, limit=limit, overlap=overlap).orderBy("piece_no").collect()
+        assert "".join(r.text[r.new_from - r.start :] for r in rows) == text
+        assert all(r.text == text[r.start : r.start + len(r.text)] and len(r.text) // 4 <= limit and r.new_from - r.start == min(4 * overlap, r.new_from) for r in rows)
+    with pytest.raises(ValueError):
+        pieces.piece_rows(df, limit=40, overlap=41)
+    long = "word and more. " * 70_000
+    rows = pieces.piece_rows(spark.createDataFrame([(1, long, "")], TURN)).orderBy("piece_no").collect()
+    assert "".join(r.text[r.new_from - r.start :] for r in rows) == long
+
+
 PAIR = "pair_kind string, pair_key string, question string, response string"
 Q = "How long had Vilen Zibojini owned the glass radio when Nomon Vanopoji borrowed it in Mamoford?"
 
@@ -243,6 +259,19 @@ def test_leaks(spark):
     assert leaks.leaks(docs, spark.createDataFrame([], ITEM)).count() == 0
 
 
+def test_leaks_with_filters_that_hold_nothing_back(spark, monkeypatch):
+    """Full filters let every window into the join; verbatim rows don't depend on them."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i % 7}x" for i in range(400)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(300)]
+    items = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], ITEM)
+    docs = spark.createDataFrame([(i, "Say " + t[: 200 + i].upper() + " done", None, None, "", "") for i, t in enumerate(texts)] * 2 + [(900, "12 " * 500, None, None, "", "")], DOC)
+    want = leaks.leaks(docs, items).where("kind = 'verbatim'").select("doc_id", "item_id").collect()
+    assert sorted(want) == [(i, i) for i in range(300)]
+    monkeypatch.setattr(leaks, "MAX_BITS", 64)
+    assert sorted(leaks.leaks(docs, items).where("kind = 'verbatim'").select("doc_id", "item_id").collect()) == sorted(want)
+
+
 TARGET = "source string, target_share double, max_repeats int"
 
 
