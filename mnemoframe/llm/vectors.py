@@ -1,8 +1,13 @@
-"""Most similar vectors by exact search over pairs of blocks.
+"""Most similar vectors by additive quantisation.
 
-The vectors of a model are cut into blocks of bounded size by hash, so no cluster of them is one task. Every block meets
-every block: dot products of 32-bit floats find what may be among the best, and 64-bit ones of those rank them. Blocks
-are read from where they are checkpointed and not shuffled a second time. The work is quadratic in the rows of a model.
+A vector is the sum of one word of each of several full-dimensional codebooks, the later ones fitted on the residuals of
+the earlier. Beam search encodes; the words of the first codebook are the cells of the index. A query visits every cell
+whose distance is within a margin of its nearest one's, scores the members by lookup tables over the codes and the stored
+norms, and ranks those within a slack of the best by exact dot products. Margin and slack aren't chosen: they are what
+the true neighbours of a bounded set of queries, found among all rows, need for the wanted recall.
+
+Where the margin lets a query visit a large part of a model's rows the index doesn't pay, and the model is searched
+exactly instead: its vectors are cut into blocks by hash, and every block meets every block.
 """
 
 from __future__ import annotations
@@ -16,7 +21,18 @@ from pyspark.sql import functions as F
 
 from mnemoframe.session import cut_lineage
 
-#: Size of a block's vectors.
+#: Codebooks are fitted on at most about SAMPLE vectors of a model and calibrated by the neighbours of about ASKED vectors,
+#: both chosen by hash. Every vector is indexed.
+SAMPLE, ASKED = 20_000, 500
+#: Further codebooks and their words, and partial sums kept while encoding.
+BOOKS, WORDS, BEAM = 3, 64, 4
+#: Mean rows of a cell, most cells of a model, and most members or queries of a cell that meet in one task.
+CELL, MAX_CELLS, BLOCK = 400, 4096, 8192
+#: Part of the true neighbours that margin and slack must each let through.
+RECALL = 0.995
+#: Part of a model's rows from which on visiting them costs more than the exact search of all.
+PAYS = 0.1
+#: Size of a block's vectors in the exact search.
 BLOCK_BYTES = 8 << 20
 #: Queries of one product, columns in a group whose greatest products bound the k-th best, and pairs ranked at once.
 QUERIES, GROUP, RANKED = 512, 64, 1 << 18
@@ -84,13 +100,199 @@ def _copies(df: DataFrame) -> DataFrame:
     return ids.join(several, key).select("model", "rep", "vec_id").distinct()
 
 
+def _distinct(df: DataFrame) -> DataFrame:
+    """(model, dim, vec_id, vec): exact copies of a vector are one row, under the smallest vec_id."""
+    return _keyed(df).groupBy("model", "dim", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.any_value("vec").alias("vec")).drop("h1", "h2")
+
+
+def _halves(words: np.ndarray) -> np.ndarray:
+    return (words**2).sum(1) / 2
+
+
+def _distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Half the squared distances to the words, less what is the same for all of them."""
+    return _halves(words) - x @ words.T
+
+
+def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    words = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        at = np.concatenate([_distances(x[i : i + 2048], words).argmin(1) for i in range(0, len(x), 2048)])
+        n = np.bincount(at, minlength=k)
+        order = np.argsort(at, kind="stable")
+        words[n > 0] = np.add.reduceat(x[order], np.searchsorted(at[order], np.flatnonzero(n)), axis=0) / n[n > 0, None]
+    return words
+
+
+def fit_books(sample: np.ndarray, n: int) -> list[np.ndarray]:
+    """Codebooks for n vectors: the first with about n / CELL words, the others on the residuals of those before."""
+    rng = np.random.default_rng(7)
+    books, rest = [], sample
+    for b in range(1 + BOOKS):
+        most = max(1, min(MAX_CELLS, n // CELL)) if b == 0 else WORDS
+        books.append(_kmeans(rest, min(most, max(1, len(sample) // 4)), 6, rng))
+        rest = rest - books[b][np.concatenate([_distances(rest[i : i + 2048], books[b]).argmin(1) for i in range(0, len(rest), 2048)])]
+    return books
+
+
+def encode(x: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, norms of the sums of words): beam search over the codebooks, keeping the nearest partial sums."""
+    rows = np.arange(len(x))[:, None]
+    codes, rest = np.zeros((len(x), 1, 0), dtype=np.int64), x[:, None, :]
+    for words in books:
+        far = (rest**2).sum(2)[:, :, None] / 2 + _distances(rest.reshape(-1, x.shape[1]), words).reshape(len(x), rest.shape[1], -1)
+        far = far.reshape(len(x), -1)
+        k = min(BEAM, far.shape[1])
+        best = np.argpartition(far, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(best, np.take_along_axis(far, best, 1).argsort(1), 1)
+        old, word = best // len(words), best % len(words)
+        codes, rest = np.concatenate([codes[rows, old], word[:, :, None]], axis=2), rest[rows, old] - words[word]
+    return codes[:, 0], np.linalg.norm(x - rest[:, 0], axis=1)
+
+
+def table_scores(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """Cosines of queries and encoded members: sums of one table entry a codebook, over the stored norms."""
+    s = sum((q @ words.T)[:, codes[:, b]] for b, words in enumerate(books))
+    return s / np.maximum(norms, 1e-6)
+
+
+def _calibrate(books: list[np.ndarray], q: np.ndarray, x: np.ndarray, sample: np.ndarray) -> tuple[float, float, float, float]:
+    """(margin, low, high, share) from pairs of queries q and true neighbours x: cells to visit, errors of the table scores,
+    and the part of the sample's rows that a query visits."""
+    cells = lambda v: np.concatenate([_distances(v[i : i + 2048], books[0]) for i in range(0, len(v), 2048)])
+    dq, dx = cells(q), cells(x)
+    rows = np.arange(len(q))
+    # A pair is found from either side.
+    gap = np.minimum(dq[rows, dx.argmin(1)] - dq.min(1), dx[rows, dq.argmin(1)] - dx.min(1))
+    margin = float(np.quantile(gap, RECALL)) + 1e-6
+    codes, norms = encode(x, books)
+    error = (q * x).sum(1) - np.concatenate([table_scores(q[i : i + 1], codes[i : i + 1], norms[i : i + 1], books)[0] for i in range(len(q))])
+    size = np.bincount(cells(sample).argmin(1), minlength=len(books[0])) / len(sample)
+    d = cells(q)
+    return margin, float(np.quantile(-error, RECALL)) + 1e-6, float(np.quantile(error, RECALL)) + 1e-6, float(((d <= d.min(1, keepdims=True) + margin) @ size).mean())
+
+
+def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
+    """model: (books, margin, low, high) of the models whose index pays; all that is collected has a fixed size a model.
+
+    Models with too few vectors or without neighbours of the wanted cosine among the queries' are left to exact search.
+    """
+    spark = df.sparkSession
+    good = usable(df)
+    n = {r["model"]: r["n"] for r in good.groupBy("model").agg(F.count("*").alias("n")).collect() if r["n"] >= 8 * CELL}
+    if not n:
+        return {}
+    part = lambda most: F.create_map(*[v for m, c in n.items() for v in (F.lit(m), F.lit(most / c))])[F.col("model")] * (1 << 30)
+    chosen = F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        m = g["model"].iloc[0]
+        x = np.unique(_unit(g["vec"]), axis=0)
+        return pd.DataFrame({"model": m, "book": range(1 + BOOKS), "dim": x.shape[1], "words": [b.tobytes() for b in fit_books(x, n[m])]})
+
+    # A bounded sample a model, fitted where Spark puts it.
+    drawn = good.where(F.col("model").isin(list(n))).where(chosen < part(SAMPLE))
+    fitted = drawn.groupBy("model").applyInPandas(fit, "model string, book int, dim int, words binary").orderBy("model", "book").collect()
+    books: dict[str, list[np.ndarray]] = {}
+    for r in fitted:
+        books.setdefault(r["model"], []).append(np.frombuffer(r["words"], dtype=np.float32).reshape(-1, r["dim"]))
+    seen = {m: np.unique(_unit(g["vec"]), axis=0) for m, g in drawn.where(chosen < part(8 * ASKED)).toPandas().groupby("model") if m in books}
+    asked = spark.sparkContext.broadcast({m: x[:: max(1, len(x) // ASKED)] for m, x in seen.items()})
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for m, g in b.groupby("model"):
+                if m in asked.value:
+                    x = np.unique(_unit(g["vec"]), axis=0)
+                    s = asked.value[m] @ x.T
+                    s[s > 1 - 1e-6] = -3  # the query itself and its copies
+                    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    q, j = np.nonzero(np.take_along_axis(s, near, 1) >= max(least, -2))
+                    at = near[q, j]
+                    yield pd.DataFrame({"model": m, "q": q, "cos": s[q, at].astype(np.float64), "v": [x[i].tobytes() for i in at]})
+
+    w = Window.partitionBy("model", "q").orderBy(F.desc("cos"))
+    true = good.mapInPandas(neighbours, "model string, q int, cos double, v binary").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toPandas()
+    index = {}
+    for m, g in true.groupby("model"):
+        q, x = asked.value[m][g["q"]], np.frombuffer(b"".join(g["v"]), dtype=np.float32).reshape(len(g), -1)
+        margin, low, high, share = _calibrate(books[m], q, x, seen[m])
+        if share <= PAYS:
+            index[m] = (books[m], margin, low, high)
+    return index
+
+
+def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -> DataFrame:
+    """(model, a, b, cos) for the models of the index: a's and b's best partners within each cell visited, both ways.
+
+    Members and visiting queries of a cell meet in blocks of about BLOCK rows, cut by hash, however many there are.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(index)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for m, b in batch.groupby("model"):
+                books, margin, *_ = shared.value[m]
+                x = _unit(b["vec"])
+                for i in range(0, len(x), 2048):
+                    y, ids = x[i : i + 2048], b["vec_id"].to_numpy()[i : i + 2048]
+                    codes, norms = encode(y, books)
+                    d = _distances(y, books[0])
+                    visits = d <= d.min(1, keepdims=True) + margin
+                    yield pd.DataFrame({"model": m, "vec_id": ids, "cell": codes[:, 0], "visits": [np.flatnonzero(r) for r in visits], "norm": norms, "codes": [r.tobytes() for r in codes.astype(np.int16)], "v": [r.tobytes() for r in y]})
+
+    placed = _distinct(df.where(F.col("model").isin(list(index)))).select("model", "vec_id", "vec")
+    placed = cut_lineage(placed.mapInPandas(place, "model string, vec_id bigint, cell bigint, visits array<bigint>, norm double, codes binary, v binary"))
+    n = lambda d: F.ceil(F.count("*") / BLOCK)
+    # At most MAX_CELLS rows a model.
+    asking = placed.select("model", F.explode("visits").alias("cell"))
+    parts = placed.groupBy("model", "cell").agg(n(placed).alias("xs")).join(asking.groupBy("model", "cell").agg(n(asking).alias("qs")), ["model", "cell"])
+    parts = F.broadcast(parts)
+    block = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    key = ["model", "cell", "xb", "qb"]
+    items = placed.join(parts, ["model", "cell"]).select("model", "cell", block("xs").alias("xb"), every("qs").alias("qb"), "vec_id", "norm", "codes", "v")
+    asks = placed.select("model", F.explode("visits").alias("cell"), "vec_id", "v").join(parts, ["model", "cell"]).select("model", "cell", every("xs").alias("xb"), block("qs").alias("qb"), "vec_id", "v")
+    asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])  # columns of its own, as both sides come from one table
+
+    def match(asks: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"model": [], "a": [], "b": [], "cos": []})]
+        if len(items) and len(asks):
+            m = items["model"].iloc[0]
+            books, _, low, high = shared.value[m]
+            read = lambda c, t: np.frombuffer(b"".join(c), dtype=t).reshape(len(c), -1)
+            x, codes, norms, ids = read(items["v"], np.float32), read(items["codes"], np.int16), items["norm"].to_numpy(np.float32), items["vec_id"].to_numpy()
+            qs, qids = read(asks["v"], np.float32), asks["vec_id"].to_numpy()
+            for i in range(0, len(qs), QUERIES):
+                q, qid = qs[i : i + QUERIES], qids[i : i + QUERIES]
+                s = table_scores(q, codes, norms, books)
+                bound = np.full(len(q), least, dtype=np.float32)
+                if len(x) > k:
+                    bound = np.maximum(bound, np.partition(s, len(x) - k - 1, axis=1)[:, len(x) - k - 1] - low)
+                r, c = np.nonzero(s >= bound[:, None] - high)
+                # Many candidates are cheaper as one product; its rounding is left for the products of 64 bits.
+                dots = (q @ x.T)[r, c] if len(r) * 16 > s.size else np.einsum("ij,ij->i", q[r], x[c])
+                keep = dots >= least - 1e-4
+                r, c = r[keep], c[keep]
+                cos = (q[r].astype(np.float64) * x[c]).sum(1)
+                keep = cos >= least
+                found = pd.DataFrame({"model": m, "a": qid[r[keep]], "b": ids[c[keep]], "cos": cos[keep]})
+                out += [found, found.rename(columns={"a": "b", "b": "a"})]
+            both = pd.concat(out).drop_duplicates(["a", "b"]).sort_values(["a", "cos", "b"], ascending=[True, False, True])
+            out = [both[both.groupby("a").cumcount() <= k]]
+        return pd.concat(out)[["model", "a", "b", "cos"]]
+
+    found = asks.groupBy(*key).cogroup(items.groupBy(*key)).applyInPandas(match, "model string, a bigint, b bigint, cos double")
+    return found.groupBy("model", "a", "b").agg(F.max("cos").alias("cos"))
+
+
 def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:
     """(model, a, b, cos): for each query a its k best members b of each block, of cosine least or more.
 
     Exact copies are one query and one member, under the smallest vec_id; a query is a member too.
     """
     spark = df.sparkSession
-    good = _keyed(df).groupBy("model", "dim", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.any_value("vec").alias("vec"))
+    good = _distinct(df)
     # One row per model.
     sizes = usable(df).groupBy("model", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") * F.col("dim") * 4 / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
@@ -122,9 +324,10 @@ def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:
     return found.mapInPandas(rows, "model string, a bigint, b bigint, cos double")
 
 
-def most_similar(df: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame:
+def most_similar(df: DataFrame, k: int = 5, least: float = -2.0, exact: bool = False) -> DataFrame:
     """(model, vec_id, rank, neighbour, cos): the k most similar vectors of every vector, of cosine least or more.
 
+    By the index where it pays, else, or if exact is asked for, by exact search. Cosines are exact in either case.
     Vectors equal in similarity rank by vec_id. Rows that are misses never appear; repeated rows count once. Of the copies
     of a vector only the k + 1 smallest vec_ids can be anyone's neighbours.
     """
@@ -133,14 +336,19 @@ def most_similar(df: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame:
     copies = _copies(df)
     first = copies.withColumn("i", F.row_number().over(Window.partitionBy("model", "rep").orderBy("vec_id"))).where(F.col("i") <= k + 1)
     first = first.groupBy("model", F.col("rep").alias("b")).agg(F.collect_list("vec_id").alias("same"))
-    near = ranked(search_blocks(df, least, k + 1), k + 1).drop("rank")
+    index = {} if exact else build_index(df, least, k)
+    rest = df.where(~F.col("model").isin(list(index))) if index else df
+    near = search_blocks(rest, least, k + 1)
+    if index:
+        near = near.unionByName(search_cells(df, index, least, k + 1))
+    near = ranked(near, k + 1).drop("rank")
     near = near.join(first, ["model", "b"], "left").select("model", "a", F.explode(F.coalesce("same", F.array("b"))).alias("b"), "cos")
     near = ranked(near, k + 1).drop("rank")
     near = near.join(copies.withColumnRenamed("rep", "a"), ["model", "a"], "left").select("model", F.coalesce("vec_id", "a").alias("a"), "b", "cos")
     return ranked(near.where("a <> b"), k).select("model", F.col("a").alias("vec_id"), "rank", F.col("b").alias("neighbour"), "cos")
 
 
-def similar_pairs(df: DataFrame, least: float = 0.85, k: int = 5) -> DataFrame:
+def similar_pairs(df: DataFrame, least: float = 0.85, k: int = 5, exact: bool = False) -> DataFrame:
     """(vec_id_a, vec_id_b): pairs of one model of cosine least or more, one among the other's k most similar."""
-    best = most_similar(df, k, least)
+    best = most_similar(df, k, least, exact)
     return best.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()

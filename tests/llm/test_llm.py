@@ -147,6 +147,30 @@ def test_vectors_against_brute_force(spark):
     assert vectors.similar_pairs(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_vectors_by_the_index(spark, monkeypatch):
+    """Two models by codebooks: recall of all neighbours at least 0.9, for every query with an id divisible by 20."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PAYS", 1.0)
+    monkeypatch.setattr(vectors, "BLOCK", 500)
+    rng = np.random.default_rng(5)
+    x = {"m": rng.normal(size=(400, 24)).repeat(12, axis=0) + 0.3 * rng.normal(size=(4800, 24)), "n": rng.normal(size=(4000, 8))}
+    x["m"][:1600] = x["m"][0] + 0.5 * rng.normal(size=(1600, 24))  # a third of the rows in one cluster
+    rows = [(i, m, v.shape[1], [float(f) for f in r], "", "") for m, v in x.items() for i, r in enumerate(v.astype(np.float32))]
+    df = spark.createDataFrame(rows, VEC).repartition(4)
+    assert set(vectors.build_index(df, -2.0, 5)) == {"m", "n"}
+    got = vectors.most_similar(df).where("vec_id % 20 = 0").toPandas()
+    for m, v in x.items():
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = got[got["model"] == m].groupby("vec_id")["neighbour"].apply(set)
+        hits = 0
+        for i in range(0, len(u), 20):
+            s = u @ u[i]
+            s[i] = -2
+            hits += len(near[i] & set(np.argsort(-s)[:5].tolist()))
+        assert hits >= 0.9 * 5 * len(range(0, len(u), 20))
+
+
 def test_vectors_in_one_dense_cluster(spark, monkeypatch):
     """A third of the rows lie in one cluster, and there are many more cells than a fixed number of visits."""
     import numpy as np
