@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from mnemoframe.functions.text import words
 
 WINDOW = 12
-#: A template with fewer fixed words than this says nothing: such a window stands for its own words alone.
-FIXED = 3
 #: Bits a key of a filter, and most bits of a filter (512 KB). A fuller filter lets more through and changes no verbatim row.
 BITS_PER_KEY, MAX_BITS = 32, 1 << 22
 #: Windows of one hash are spread over so many parts of the join.
@@ -73,18 +71,12 @@ def _canonical(w: Column, names: KeyFilter, known: KeyFilter) -> Column:
 
 def _windows(df: DataFrame, size: int, keep: KeyFilter | None = None) -> DataFrame:
     """(other columns, h, w): hash and words of each template window, of those whose hash may be in keep."""
-    coded = F.transform(F.arrays_zip(F.col("_c").alias("c"), F.col("_w").alias("w")), lambda x: F.struct(F.xxhash64(x["c"]).alias("c"), F.xxhash64(F.lower(x["w"])).alias("w"), x["c"].startswith("#").cast("int").alias("s")))
+    coded = F.transform("_c", lambda x: F.xxhash64(x))
     rest = [c for c in df.columns if c not in ("_w", "_c")]
 
     def windows(z: Column) -> Column:
         at = F.when(F.size(z) >= size, F.sequence(F.lit(1), F.size(z) - (size - 1)))
-
-        def one(i: Column) -> Column:
-            part = F.slice(z, i, size)
-            slots = F.aggregate(part["s"], F.lit(0), lambda a, x: a + x)
-            return F.struct(F.when(slots <= size - FIXED, F.xxhash64(part["c"])).otherwise(F.xxhash64(part["w"])).alias("h"), i.alias("i"))
-
-        found = F.transform(at, one)
+        found = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(z, i, size)).alias("h"), i.alias("i")))
         return found if keep is None else F.filter(found, lambda x: keep.may_have(x["h"]))
 
     # The word hashes are bound once a text, by a list of one, and not computed again for each window.
