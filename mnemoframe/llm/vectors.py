@@ -28,8 +28,8 @@ SAMPLE, ASKED = 20_000, 500
 BOOKS, WORDS, BEAM = 3, 64, 4
 #: Mean rows of a cell, most cells of a model, and most members or queries of a cell that meet in one task.
 CELL, MAX_CELLS, BLOCK = 400, 4096, 8192
-#: Part of the true neighbours that margin and slack must each let through.
-RECALL = 0.995
+#: Parts of the true neighbours that the margin and the slack must let through.
+VISITED, SHORTLISTED = 0.99, 0.998
 #: Part of a model's rows from which on visiting them costs more than the exact search of all.
 PAYS = 0.1
 #: Size of a block's vectors in the exact search.
@@ -164,12 +164,12 @@ def _calibrate(books: list[np.ndarray], q: np.ndarray, x: np.ndarray, sample: np
     rows = np.arange(len(q))
     # A pair is found from either side.
     gap = np.minimum(dq[rows, dx.argmin(1)] - dq.min(1), dx[rows, dq.argmin(1)] - dx.min(1))
-    margin = float(np.quantile(gap, RECALL)) + 1e-6
+    margin = float(np.quantile(gap, VISITED)) + 1e-6
     codes, norms = encode(x, books)
     error = (q * x).sum(1) - np.concatenate([table_scores(q[i : i + 1], codes[i : i + 1], norms[i : i + 1], books)[0] for i in range(len(q))])
     size = np.bincount(cells(sample).argmin(1), minlength=len(books[0])) / len(sample)
     d = cells(q)
-    return margin, float(np.quantile(-error, RECALL)) + 1e-6, float(np.quantile(error, RECALL)) + 1e-6, float(((d <= d.min(1, keepdims=True) + margin) @ size).mean())
+    return margin, float(np.quantile(-error, SHORTLISTED)) + 1e-6, float(np.quantile(error, SHORTLISTED)) + 1e-6, float(((d <= d.min(1, keepdims=True) + margin) @ size).mean())
 
 
 def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
@@ -222,49 +222,71 @@ def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
     return index
 
 
+def _visits(x: np.ndarray, books: list[np.ndarray], margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, visited): the cell of each vector, and which cells it visits, its own among them."""
+    d = _distances(x, books[0])
+    return d.argmin(1), d <= d.min(1, keepdims=True) + margin
+
+
+def _blocks_of_cells(good: DataFrame, shared) -> dict[tuple[str, int], tuple[int, int]]:
+    """(model, cell): numbers of blocks of members and of visitors, of BLOCK rows or so. At most MAX_CELLS a model."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for m, b in batch.groupby("model"):
+                books, margin, *_ = shared.value[m]
+                x = _unit(b["vec"])
+                for i in range(0, len(x), 2048):
+                    cell, visited = _visits(x[i : i + 2048], books, margin)
+                    yield pd.DataFrame({"model": m, "cell": range(len(books[0])), "x": np.bincount(cell, minlength=len(books[0])), "q": visited.sum(0)})
+
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK)).alias(c)
+    rows = good.mapInPandas(count, "model string, cell bigint, x bigint, q bigint").groupBy("model", "cell").agg(blocks("x"), blocks("q")).collect()
+    return {(r["model"], r["cell"]): (r["x"], r["q"]) for r in rows}
+
+
 def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -> DataFrame:
     """(model, a, b, cos) for the models of the index: a's and b's best partners within each cell visited, both ways.
 
-    Members and visiting queries of a cell meet in blocks of about BLOCK rows, cut by hash, however many there are.
+    Members and visitors of a cell meet in blocks of about BLOCK rows, cut by hash, however many there are. A vector
+    travels once as a member, and once to each cell that it visits besides its own.
     """
-    shared = df.sparkSession.sparkContext.broadcast(index)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+    mine = df.where(F.col("model").isin(list(index)))
+    parts = spark.sparkContext.broadcast(_blocks_of_cells(usable(mine), shared))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for m, b in batch.groupby("model"):
                 books, margin, *_ = shared.value[m]
+                xs, qs = (np.array([parts.value.get((m, c), (1, 1))[i] for c in range(len(books[0]))]) for i in (0, 1))
                 x = _unit(b["vec"])
                 for i in range(0, len(x), 2048):
                     y, ids = x[i : i + 2048], b["vec_id"].to_numpy()[i : i + 2048]
+                    cell, visited = _visits(y, books, margin)
                     codes, norms = encode(y, books)
-                    d = _distances(y, books[0])
-                    visits = d <= d.min(1, keepdims=True) + margin
-                    yield pd.DataFrame({"model": m, "vec_id": ids, "cell": codes[:, 0], "visits": [np.flatnonzero(r) for r in visits], "norm": norms, "codes": [r.tobytes() for r in codes.astype(np.int16)], "v": [r.tobytes() for r in y]})
-
-    placed = _distinct(df.where(F.col("model").isin(list(index)))).select("model", "vec_id", "vec")
-    placed = cut_lineage(placed.mapInPandas(place, "model string, vec_id bigint, cell bigint, visits array<bigint>, norm double, codes binary, v binary"))
-    n = lambda d: F.ceil(F.count("*") / BLOCK)
-    # At most MAX_CELLS rows a model.
-    asking = placed.select("model", F.explode("visits").alias("cell"))
-    parts = placed.groupBy("model", "cell").agg(n(placed).alias("xs")).join(asking.groupBy("model", "cell").agg(n(asking).alias("qs")), ["model", "cell"])
-    parts = F.broadcast(parts)
-    block = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    key = ["model", "cell", "xb", "qb"]
-    items = placed.join(parts, ["model", "cell"]).select("model", "cell", block("xs").alias("xb"), every("qs").alias("qb"), "vec_id", "norm", "codes", "v")
-    asks = placed.select("model", F.explode("visits").alias("cell"), "vec_id", "v").join(parts, ["model", "cell"]).select("model", "cell", every("xs").alias("xb"), block("qs").alias("qb"), "vec_id", "v")
-    asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])  # columns of its own, as both sides come from one table
-
-    def match(asks: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+                    where = ids * 2654435761 % (1 << 31)
+                    for ask in (False, True):
+                        if ask:
+                            # Members of a cell of one block meet there as they are.
+                            visited[np.arange(len(y))[xs[cell] * qs[cell] == 1], cell[xs[cell] * qs[cell] == 1]] = False
+                        at, c = np.nonzero(visited) if ask else (np.arange(len(y)), cell)
+                        own, n = (where[at] % qs[c], xs[c]) if ask else (where[at] % xs[c], qs[c])
+                        at, c, own, other = np.repeat(at, n), np.repeat(c, n), np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        small = codes.astype(np.int16)
+                        yield pd.DataFrame({"model": m, "cell": c, "xb": other if ask else own, "qb": own if ask else other, "ask": ask, "vec_id": ids[at], "norm": norms[at], "codes": [b"" if ask else small[j].tobytes() for j in at], "v": [y[j].tobytes() for j in at]})
+
+    def match(g: pd.DataFrame) -> pd.DataFrame:
+        m, cell = g["model"].iloc[0], g["cell"].iloc[0]
+        items, asks = g[~g["ask"]], g[g["ask"]] if parts.value.get((m, cell), (1, 1)) != (1, 1) else g
         out = [pd.DataFrame({"model": [], "a": [], "b": [], "cos": []})]
         if len(items) and len(asks):
-            m = items["model"].iloc[0]
             books, _, low, high = shared.value[m]
             read = lambda c, t: np.frombuffer(b"".join(c), dtype=t).reshape(len(c), -1)
             x, codes, norms, ids = read(items["v"], np.float32), read(items["codes"], np.int16), items["norm"].to_numpy(np.float32), items["vec_id"].to_numpy()
-            qs, qids = read(asks["v"], np.float32), asks["vec_id"].to_numpy()
-            for i in range(0, len(qs), QUERIES):
-                q, qid = qs[i : i + QUERIES], qids[i : i + QUERIES]
+            for i in range(0, len(asks), QUERIES):
+                q, qid = read(asks["v"].iloc[i : i + QUERIES], np.float32), asks["vec_id"].to_numpy()[i : i + QUERIES]
                 s = table_scores(q, codes, norms, books)
                 bound = np.full(len(q), least, dtype=np.float32)
                 if len(x) > k:
@@ -282,7 +304,8 @@ def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -
             out = [both[both.groupby("a").cumcount() <= k]]
         return pd.concat(out)[["model", "a", "b", "cos"]]
 
-    found = asks.groupBy(*key).cogroup(items.groupBy(*key)).applyInPandas(match, "model string, a bigint, b bigint, cos double")
+    placed = _distinct(mine).mapInPandas(place, "model string, cell bigint, xb bigint, qb bigint, ask boolean, vec_id bigint, norm double, codes binary, v binary")
+    found = placed.groupBy("model", "cell", "xb", "qb").applyInPandas(match, "model string, a bigint, b bigint, cos double")
     return found.groupBy("model", "a", "b").agg(F.max("cos").alias("cos"))
 
 
