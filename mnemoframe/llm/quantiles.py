@@ -5,30 +5,34 @@ counter array: exact where the resolution has no more nodes than WIDTH, a signed
 counters are sums, so sketches merge by addition and give up data by subtraction. A percentile is found by descending
 from the coarsest resolution to the finest.
 
-Stated error: the encoding is off by at most STEP / 2 of (1 + value), the rank by about
-2 * SKETCHED * sqrt(F2 / WIDTH), F2 being the sum of squared code counts of the group; no code count of a group with
-n values spread over k codes exceeds that of n * n / k by much, which leaves well under 1 % of n.
+Stated error: the encoding is off by at most STEP / 2 of (1 + value). A rank is a sum of one estimate a level, and the
+estimate of a sketched level, a median of ROWS signed counters, has a variance of about 1.57 / ROWS * F2 / WIDTH, F2
+being the level's sum of squared counts, which the counters themselves give. So each percentile comes with the values
+ERRORS standard errors of its rank below and above it. Sketches have one size, whatever the number of values.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.session import cut_lineage
+
 METRICS = ["search_ms", "e2e_ms", "context_tokens"]
-BITS, WIDTH, ROWS, STEP = 12, 1024, 5, 0.01
+BITS, WIDTH, ROWS, STEP, ERRORS = 16, 256, 5, 0.0005, 4.0
 SKETCHED = BITS - int(math.log2(WIDTH))  # the levels below which nodes outnumber counters
 KEYS = ["system", "run_day", "metric"]
 
 # Counter numbers: exact levels first, coarsest first, then the rows of each sketched level.
 _EXACT = {lv: (1 << (BITS - lv)) - 1 for lv in range(BITS, SKETCHED - 1, -1)}
 _BASE = (2 << (BITS - SKETCHED)) - 1
-_SIZE = _BASE + SKETCHED * ROWS * WIDTH
+SIZE = _BASE + SKETCHED * ROWS * WIDTH
 
 
 def measures(answers: DataFrame) -> DataFrame:
@@ -41,65 +45,92 @@ def measures(answers: DataFrame) -> DataFrame:
     return out.where("value >= 0 AND NOT isnan(value) AND value < double('Infinity')")
 
 
-def _hashes(node: str, row: int) -> tuple[str, str]:
-    """SQL of the bucket and the sign of a node in one row of a sketch."""
-    h = f"xxhash64({node}, {row})"
-    return f"CAST(pmod({h}, {WIDTH}) AS INT)", f"if(shiftright({h}, 40) % 2 = 0, 1L, -1L)"
+def code_of(value: Column) -> Column:
+    return F.least(F.lit((1 << BITS) - 1), F.floor(F.log1p(value) / math.log1p(STEP))).cast("int")
+
+
+def _places(node: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counter, sign) of the nodes of a sketched level in one row: 64 mixed bits of the node and its place."""
+    h = node.astype(np.uint64) + np.uint64((level * ROWS + row + 1) << 32)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return _BASE + (level * ROWS + row) * WIDTH + (h % np.uint64(WIDTH)).astype(np.int64), 1 - 2 * (h >> np.uint64(63)).astype(np.int64)
+
+
+def _counters(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    c = np.zeros(SIZE, dtype=np.int64)
+    for lv, base in _EXACT.items():
+        np.add.at(c, base + (codes >> lv), n)
+    for lv in range(SKETCHED):
+        for r in range(ROWS):
+            at, sign = _places(codes >> lv, lv, r)
+            np.add.at(c, at, sign * n)
+    return c
+
+
+def _pack(c: np.ndarray) -> bytes:
+    return zlib.compress(c.tobytes(), 1)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), dtype=np.int64)
+
+
+def _schema(df: DataFrame, keys: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for k in keys for f in df.schema.fields if f.name == k)
 
 
 def sketch(values: DataFrame, keys: list[str] | None = None, sign: int = 1) -> DataFrame:
-    """Sketches in long form: (keys, cell, amount), one row per counter that isn't zero.
+    """(keys, sketch) of (keys, value); sign -1 gives the sketch that deletes the values.
 
-    Values are counted per code first, with partial sums before the shuffle, so a group of any size becomes at most
-    2**BITS rows. sign -1 gives the sketch that deletes the values.
+    Values are counted per code with partial sums before the shuffle, so a group of any size comes to its task as at
+    most 2**BITS rows.
     """
     keys = keys or KEYS
-    code = F.least(F.lit((1 << BITS) - 1), F.floor(F.log1p("value") / math.log1p(STEP))).cast("int")
-    hist = values.groupBy(*keys, code.alias("code")).agg(F.count("*").alias("n"))
-    cells = [f"named_struct('cell', {base} + shiftright(code, {lv}), 'amount', n)" for lv, base in _EXACT.items()]
-    for lv in range(SKETCHED):
-        for r in range(ROWS):
-            bucket, s = _hashes(f"shiftright(code, {lv}) + {lv << BITS}", r)
-            cells.append(f"named_struct('cell', {_BASE + (lv * ROWS + r) * WIDTH} + {bucket}, 'amount', n * {s})")
-    return merge(hist.select(*keys, F.inline(F.expr(f"array({', '.join(cells)})"))).withColumn("amount", F.col("amount") * sign), keys)
+    hist = values.groupBy(*keys, code_of(F.col("value")).alias("code")).agg(F.count("*").alias("n"))
 
+    def build(g: pd.DataFrame) -> pd.DataFrame:
+        c = _counters(g["code"].to_numpy(np.int64), sign * g["n"].to_numpy(np.int64))
+        return g[keys].head(1).assign(sketch=[_pack(c)])
 
-def merge(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of sketches over all columns that aren't in keys."""
-    return cells.groupBy(*keys, "cell").agg(F.sum("amount").alias("amount")).where("amount <> 0")
+    return hist.groupBy(*keys).applyInPandas(build, _schema(hist, keys) + "sketch binary")
 
 
-def packed(cells: DataFrame, keys: list[str], name: str = "sketch") -> DataFrame:
-    """One row per sketch, with its counters as an array. A sketch has a fixed number of counters at most."""
-    return cells.groupBy(*keys).agg(F.collect_list(F.struct("cell", "amount")).alias(name))
+def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sketch): sum of sketches over all columns that aren't in keys. Batches are added up before the shuffle."""
+    schema = _schema(sketches, keys) + "sketch binary"
 
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SIZE, dtype=np.int64)
+        for s in g["sketch"]:
+            total += _unpack(s)
+        return g[keys].head(1).assign(sketch=[_pack(total)])
 
-def _dense(s) -> np.ndarray:
-    out = np.zeros(_SIZE, dtype=np.int64)
-    if s is not None and len(s):
-        out[[x["cell"] for x in s]] = [x["amount"] for x in s]
-    return out
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, g in b.groupby(keys, dropna=False, sort=False):
+                yield add(g)
+
+    return sketches.select(*keys, "sketch").mapInPandas(combine, schema).groupBy(*keys).applyInPandas(add, schema)
 
 
-def _bucket_table(spark) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and signs of all nodes of the sketched levels, by the same SQL that fills the sketches."""
-    exprs = [f"{e} AS {k}{lv}_{r}" for lv in range(SKETCHED) for r in range(ROWS) for k, e in zip("bs", _hashes(f"CAST(shiftright(id, {lv}) AS INT) + {lv << BITS}", r))]
-    t = spark.range(1 << BITS).orderBy("id").selectExpr(*exprs).toPandas()
-    take = lambda k: np.stack([np.stack([t[f"{k}{lv}_{r}"].to_numpy() for r in range(ROWS)]) for lv in range(SKETCHED)]) if SKETCHED else np.zeros((0, ROWS, 1 << BITS))
-    return take("b").astype(np.int64), take("s").astype(np.int64)
+def _rank_error(c: np.ndarray) -> float:
+    """Standard error of a rank, from the sums of squares of the sketched levels' rows."""
+    rows = c[_BASE:].reshape(SKETCHED, ROWS, WIDTH).astype(np.float64)
+    return math.sqrt(1.57 / ROWS * np.median((rows**2).sum(2), axis=1).sum() / WIDTH)
 
 
-def _value_at_rank(c: np.ndarray, rank: float, buckets: np.ndarray, signs: np.ndarray) -> float:
+def _value_at_rank(c: np.ndarray, rank: float) -> float:
     """Value of the 0-based rank: at each level go left if the left child's count exceeds what is left of the rank."""
-    node = 0
+    node, rank = 0, min(max(rank, 0.0), c[0] - 1.0)
     for lv in range(BITS - 1, -1, -1):
         left = node * 2
         if lv >= SKETCHED:
             count = c[_EXACT[lv] + left]
         else:
-            code = left << lv
-            at = _BASE + np.arange(lv * ROWS, (lv + 1) * ROWS) * WIDTH + buckets[lv, :, code]
-            count = max(0, np.median(c[at] * signs[lv, :, code]))
+            seen = [_places(np.array([left]), lv, r) for r in range(ROWS)]
+            count = max(0.0, float(np.median([c[at[0]] * sign[0] for at, sign in seen])))
         if rank < count:
             node = left
         else:
@@ -107,56 +138,82 @@ def _value_at_rank(c: np.ndarray, rank: float, buckets: np.ndarray, signs: np.nd
     return math.expm1((node + 0.5) * math.log1p(STEP)) if node else 0.0
 
 
-def percentile_of(c: np.ndarray, pct: float, buckets: np.ndarray, signs: np.ndarray) -> float:
-    """Percentile with linear interpolation between the neighbouring ranks, as of n = c[0] values."""
+def percentile_of(c: np.ndarray, pct: float) -> tuple[float, float, float]:
+    """(value, low, high): percentile of the n = c[0] values, and the bounds of its stated error."""
     n = int(c[0])
     if n <= 0:
-        return float("nan")
-    at = (n - 1) * pct / 100
-    lo = _value_at_rank(c, math.floor(at), buckets, signs)
-    return lo if at == math.floor(at) else lo + (at - math.floor(at)) * (_value_at_rank(c, math.ceil(at), buckets, signs) - lo)
+        return (math.nan,) * 3
+    at, slack = (n - 1) * pct / 100, ERRORS * _rank_error(c)
+    low, high = _value_at_rank(c, math.floor(at) - slack), _value_at_rank(c, math.ceil(at) + slack)
+    return _value_at_rank(c, at), low - (1 + low) * STEP, high + (1 + high) * STEP
 
 
-def quantiles(cells: DataFrame, keys: list[str], pcts: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """(keys, pct, n, value) of each sketch."""
-    buckets, signs = _bucket_table(cells.sparkSession)
-    rows = packed(cells, keys)
-    fields = [f for f in rows.schema.fields if f.name in keys]
+def quantiles(sketches: DataFrame, keys: list[str], pcts: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """(keys, pct, n, value, low, high) of each sketch; the true percentile lies between low and high."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for rec in b.itertuples(index=False):
-                c = _dense(rec.sketch)
-                out += [[getattr(rec, k) for k in keys] + [p, int(c[0]), percentile_of(c, p, buckets, signs)] for p in pcts]
-            yield pd.DataFrame(out, columns=[*keys, "pct", "n", "value"])
-
-    return rows.select(*keys, "sketch").mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pct int, n bigint, value double")
+                c = _unpack(rec.sketch)
+                out += [[*[getattr(rec, k) for k in keys], p, int(c[0]), *percentile_of(c, p)] for p in pcts]
+            yield pd.DataFrame(out, columns=[*keys, "pct", "n", "value", "low", "high"])
+
+    return sketches.select(*keys, "sketch").mapInPandas(run, _schema(sketches, keys) + "pct int, n bigint, value double, low double, high double")
+
+
+def _exact(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (KEYS, pct) with x, the exact percentile of the group; only the codes that hold its ranks are looked into."""
+    own = values.join(asked.select(*KEYS).distinct(), KEYS, "left_semi").withColumn("code", code_of(F.col("value")))
+    w = Window.partitionBy(*KEYS)
+    hist = own.groupBy(*KEYS, "code").agg(F.count("*").alias("n"))  # at most 2**BITS rows a group
+    hist = hist.withColumn("upto", F.sum("n").over(w.orderBy("code"))).withColumn("total", F.sum("n").over(w))
+    at = (F.col("total") - 1) * F.col("pct") / 100
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("hi"), F.floor(at).alias("rank")), F.struct(F.lit(1).alias("hi"), F.ceil(at).alias("rank"))))
+    found = hist.join(asked, KEYS).select(*KEYS, "pct", "code", "n", "upto", (at - F.floor(at)).alias("part"), ranks.alias("r")).select("*", "r.*")
+    found = found.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    found = found.select(*KEYS, "pct", "code", "part", "hi", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset"))
+    seen = own.groupBy(*KEYS, "code", "value").agg(F.count("*").alias("k")).join(found, [*KEYS, "code"])
+    v = Window.partitionBy(*KEYS, "pct", "hi").orderBy("value")
+    seen = seen.withColumn("u", F.sum("k").over(v)).where("offset < u AND offset >= u - k")
+    side = lambda i: F.max(F.when(F.col("hi") == i, F.col("value")))
+    return seen.groupBy(*KEYS, "pct").agg((side(0) + F.max("part") * (side(1) - side(0))).alias("x"))
 
 
 def outlying_days(answers: DataFrame, factor: float = 2.0, least: int = 30, pcts: tuple[int, ...] = (50, 95)) -> DataFrame:
     """(system, run_day, metric, pct): days whose percentile is at least factor times that of all other days together.
 
-    The other days' sketch is the sketch of all days minus that of the day. Both need least values. Percentiles carry
-    the stated error of the sketch.
+    The other days' sketch is the sketch of all days minus that of the day. Both need least values. Where the stated
+    error leaves it open which side of the factor a day is on, its values and the counts of the others decide exactly.
     """
-    buckets, signs = _bucket_table(answers.sparkSession)
-    cells = sketch(measures(answers).where("system IS NOT NULL AND run_day IS NOT NULL"))
-    days = packed(cells, KEYS, "own")
+    values = measures(answers).where("system IS NOT NULL AND run_day IS NOT NULL")
+    days = cut_lineage(sketch(values))
     # The day sketches are added up as they are: no second pass over the rows.
-    everything = packed(merge(cells, ["system", "metric"]), ["system", "metric"], "whole")
+    everything = merge(days, ["system", "metric"]).withColumnRenamed("sketch", "whole")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for rec in b.itertuples(index=False):
-                own = _dense(rec.own)
-                rest = _dense(rec.whole) - own
+                own = _unpack(rec.sketch)
+                rest = _unpack(rec.whole) - own
                 if own[0] >= least and rest[0] >= least:
                     for p in pcts:
-                        x, y = percentile_of(own, p, buckets, signs), percentile_of(rest, p, buckets, signs)
-                        if x >= factor * y:
-                            out.append((rec.system, rec.run_day, rec.metric, p))
-            yield pd.DataFrame(out, columns=[*KEYS, "pct"])
-
-    return days.join(everything, ["system", "metric"]).select(*KEYS, "own", "whole").mapInPandas(run, "system string, run_day string, metric string, pct int")
+                        (_, x_low, x_high), (_, y_low, y_high) = percentile_of(own, p), percentile_of(rest, p)
+                        if x_high >= factor * y_low:
+                            out.append((rec.system, rec.run_day, rec.metric, p, x_low >= factor * y_high))
+            yield pd.DataFrame(out, columns=[*KEYS, "pct", "sure"])
+
+    marked = cut_lineage(days.join(everything, ["system", "metric"]).select(*KEYS, "sketch", "whole").mapInPandas(run, "system string, run_day string, metric string, pct int, sure boolean"))
+    sure, unsure = marked.where("sure").drop("sure"), marked.where("NOT sure").drop("sure")
+    if unsure.isEmpty():
+        return sure
+    # Whether the others' percentile is at most y: by how many of them are, and at the rank itself by its neighbours.
+    y = _exact(values, unsure).withColumn("y", F.col("x") / factor).withColumnRenamed("run_day", "day")
+    rest = values.join(y, ["system", "metric"]).where("run_day <> day")
+    low = F.col("value") <= F.col("y")
+    g = rest.groupBy("system", "day", "metric", "pct", "y").agg(F.count("*").alias("n"), F.count_if(low).alias("c"), F.max(F.when(low, F.col("value"))).alias("lo"), F.min(F.when(~low, F.col("value"))).alias("hi"))
+    at = (F.col("n") - 1) * F.col("pct") / 100
+    between = F.col("lo") + (at - F.floor(at)) * (F.coalesce("hi", "lo") - F.col("lo")) <= F.col("y")
+    out = (F.col("c") > F.floor(at) + 1) | ((F.col("c") == F.floor(at) + 1) & between)
+    return sure.unionByName(g.where(out).select("system", F.col("day").alias("run_day"), "metric", "pct"))
