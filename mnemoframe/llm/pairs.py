@@ -1,11 +1,13 @@
 """Broken pairs of prompt and response, with the kind of their defect.
 
 A suffix automaton of the prompt measures how much of the response is copied; alternations of refusal phrases (compiled
-to automata by the regex engine), a stack of open delimiters and votes of language-typical words find the rest.
+to automata by the regex engine), a stack of open delimiters, and votes of language-typical words and of scripts find the
+rest. Where a response without an end mark may break off within a word, the word pairs of all prompts and golds tell.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +28,7 @@ REFUSALS = [
     r"my (?:instructions|guidelines|rules|policies) (?:do not|don't|forbid|prohibit|prevent)\b", r"not (?:be )?appropriate for me\b", r"can(?:no|')t be (?:answered|disclosed|shared)\b",
     r"no (?:stored |saved |such |relevant |matching )?(?:record|records|entry|entries|information|memory|memories|mention|data|note|notes|trace|details)\b",
     r"nothing (?:in|about|on|is|was|that)\b.{0,40}\b(?:memory|record|stored|known|recorded|session|sessions|question|this|that|answers)\b",
-    r"(?:is|are|was|were) (?:not|never) (?:available|known|recorded|mentioned|stored|specified|stated|said)\b", r"(?:never|does not|doesn't|do not|don't) (?:says?|mentions?|states?|tells?)\b",
+    r"(?:is|are|was|were) (?:not|never) (?:available|known|recorded|mentioned|stored|specified|stated|said)(?=\s*(?:$|[.,;!]|(?:in|anywhere|to me|here|yet|by (?:the|my|any))\b))", r"(?:never|does not|doesn't|do not|don't) (?:says?|mentions?|states?|tells?)\b",
     r"(?:kann|darf|will|möchte|werde|weiß|konnte) ich\b.{0,40}\b(?:nicht|nichts|keine|keinen)\b", r"ich (?:kann|darf|will|möchte|werde|weiß|konnte|habe|finde)\b.{0,50}\b(?:nicht|nichts|keine|keinen)\b",
     r"keine? (?:auskunft|information|informationen|angaben|antwort|eintrag|einträge|aufzeichnung|aufzeichnungen|daten|hinweis)\b", r"(?:nicht bekannt|nichts bekannt|nicht verfügbar|nichts gespeichert|nicht gespeichert)\b", r"muss ich (?:leider )?(?:ablehnen|passen)\b",
     r"(?:tut mir leid|bedaure)\b",
@@ -41,8 +43,14 @@ VOTERS = {
     "es": "el los las del al un una unos unas y es fue era eran está están son se su sus por para con sin sobre porque que qué cómo cuándo dónde pero más muy lo le les como también ya había hay ha han este esta eso esa ese desde entre después antes debajo detrás junto estaba cuando todos de la en",
     "fr": "le les des du au aux une et est était étaient sont il elle ils elles on nous vous ce cette ces pas ne plus pour avec sans sur sous dans chez par que qui quand où pourquoi comment mais ou donc car très tout tous après avant pendant depuis se son sa ses leur c n qu d l s j parce de la",
     "it": "il lo gli della dello dei degli delle nel nella e è era erano sono non con per su tra fra che chi come quando dove perché ma anche più molto suo sua loro questo questa dopo prima stato stata di una la",
+    "nl": "het een niet zijn wordt werd naar ook maar voor deze bij uit hij zij waar wanneer omdat",
+    "sv": "och att inte är på för från också efter blev hade eller mycket",
+    "pl": "jest nie się że był była dla przez jak ale oraz gdzie kiedy ponieważ",
+    "tr": "bir ve bu için ile değil çok olarak daha gibi sonra çünkü",
     "pt": "o os as do da dos das no na nos nas um uma e é era foi são não com para por sobre que quem como quando onde porquê porque mas também mais muito seu sua este esta depois antes ele ela eles de em",
 }
+# Scripts that stand for a language or a few; Japanese mixes the last two with the first.
+SCRIPTS = {"han": "㐀-䶿一-鿿", "kana": "぀-ヿ", "hangul": "가-힯", "cyrillic": "Ѐ-ӿ", "arabic": "؀-ۿ", "hebrew": "֐-׿", "greek": "Ͱ-Ͽ", "devanagari": "ऀ-ॿ", "thai": "฀-๿"}
 MONTHS = {
     "en": "january february march may june july october december monday tuesday wednesday thursday friday saturday sunday times weeks months years",
     "de": "januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag mal wochen monate jahre",
@@ -53,6 +61,8 @@ ASKING = ["who", "whose", "whom", "what", "which", "when", "where", "why", "how"
 #: Words after which a text can't end.
 OPEN_ENDS = "the a an and or but of to in on at by for from with into than that which who whose because since as if is was were had has his her their its der die das den dem des ein eine und oder aber von zu mit weil dass als el la los las un una y o pero de del que por porque con en se le les et ou du des une dans qui"
 COPIED, NEW_WORDS = 0.5, 1
+#: Words of an item of a list that is no sentence, uses of a word that make it established, and of a pair of words in golds.
+ITEM_WORDS, ESTABLISHED, REPEATED = 3, 5, 3
 
 
 def _automaton(words: list[str]) -> tuple[list[dict[str, int]], list[int], list[int]]:
@@ -123,6 +133,14 @@ _COMMON = {w for lang in ("en", "de", "es") for w in VOTERS[lang].split()}
 _LABELS = {"q", "question", "frage", "pregunta"}
 
 
+_SCRIPT = re.compile("|".join(f"(?P<{k}>[{v}])" for k, v in SCRIPTS.items()))
+
+
+def _script(word: str) -> str | None:
+    seen = {m.lastgroup for m in _SCRIPT.finditer(word)}
+    return "kana" if "kana" in seen else next(iter(seen), None)
+
+
 def _votes(cased: list[str]) -> dict[str, int]:
     """Votes of the words for languages; runs of capitalised words are names and don't vote."""
     out: dict[str, int] = {}
@@ -131,9 +149,34 @@ def _votes(cased: list[str]) -> dict[str, int]:
             continue
         for lang in _VOTES.get(w.lower(), ()):
             out[lang] = out.get(lang, 0) + 1
+        if not w.isascii() and (script := _script(w)):
+            out[script] = out.get(script, 0) + 1
+    if "kana" in out:
+        out["kana"] += out.pop("han", 0)
     return out
 
 
+_BETWEEN = re.compile(r",\s*(?:(?:and|or|und|oder|y|o)\s+)?|\s+(?:and|or|und|oder|y|o)\s+")
+_ITEM = re.compile(r"\s*(?:\d+[.)]|[-*•])\s+")
+
+
+def _shape(text: str) -> tuple[bool, bool]:
+    """(listing, unfinished) of the last line and the items before it: short parts and no sentence; a last part that is
+    shorter than all before, which are alike in length and first word."""
+    lines = [x for x in text.rstrip().split("\n") if x.strip()]
+    if not lines:
+        return False, False
+    item = _ITEM.match(lines[-1])
+    parts = [x[m.end() :] for x in lines if (m := _ITEM.match(x))] if item else _BETWEEN.split(lines[-1])
+    parts = [x.lower().split() for x in parts if x.strip()]
+    if not parts:
+        return False, False
+    listing = not item and all(len(x) <= ITEM_WORDS for x in parts)
+    heads = {x[0] for x in parts[:-1]}
+    alike = len(heads) == 1 and len({len(x) for x in parts[:-1]}) == 1 and len(parts[-1]) < len(parts[0])
+    return listing, alike and (parts[-1][0] in heads or len(parts[-1]) == 1 and next(iter(heads)).startswith(parts[-1][0]))
+
+
 def _within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`."""
     if abs(len(a) - len(b)) > most:
@@ -146,8 +189,8 @@ def _within(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def _pair(q: list[str], r: list[str], text: str) -> tuple[bool, bool, int, bool]:
-    """(echo, other language, words of content shared with the prompt, a delimiter open) of one pair."""
+def _pair(q: list[str], r: list[str], text: str) -> tuple[bool, bool, int, bool, bool, bool]:
+    """(echo, other language, words of content shared with the prompt, a delimiter open, listing, unfinished) of one pair."""
     ql, rl = [w.lower() for w in q], [w.lower() for w in r]
     asked = set(ql)
     echo = False
@@ -160,12 +203,12 @@ def _pair(q: list[str], r: list[str], text: str) -> tuple[bool, bool, int, bool]
     top = [lang for lang, n in mine.items() if n == best]
     other = len(top) == 1 and max((n for lang, n in theirs.items() if lang != top[0]), default=0) > theirs.get(top[0], 0)
     shared = len({w for w in rl if len(w) > 3 and w in asked and w not in _COMMON})
-    return echo, other, shared, _open_delimiters(text)
+    return echo, other, shared, _open_delimiters(text), *_shape(text)
 
 
 def _measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for qs, rs, texts in batches:
-        yield pd.DataFrame([_pair(q.split(), r.split(), t) for q, r, t in zip(qs, rs, texts)], columns=["echo", "other", "shared", "open"])
+        yield pd.DataFrame([_pair(q.split(), r.split(), t) for q, r, t in zip(qs, rs, texts)], columns=["echo", "other", "shared", "open", "listing", "unfinished"])
 
 
 def _words(plain: Column) -> Column:
@@ -183,28 +226,23 @@ def defects(pairs: DataFrame) -> DataFrame:
     Kinds are tried in the order empty, refusal, echo, other_language, truncated. A NULL or blank question leaves only
     the kinds that don't look at it. Responses are judged as a whole, at any length.
     """
-    nouns = _object_words(pairs)
     d = pairs if "qw" in pairs.columns else with_prompt(pairs)
     d = d.select("pair_kind", "pair_key", "qw", F.regexp_replace(plain_text(F.coalesce("response", F.lit(""))), "’", "'").alias("r"))
     # A label before the copied prompt is no content of its own.
     d = d.withColumn("rw", _words(F.regexp_replace("r", r"^\s*\p{L}[\p{L} ]{0,20}:\s", "")))
     # Words hold no spaces: one string travels faster than an array of them.
     d = d.withColumn("rs", F.array_join("rw", " ")).withColumn("n", F.size("rw")).drop("rw")
-    d = d.withColumn("m", F.pandas_udf(_measure, "echo boolean, other boolean, shared int, open boolean")(F.array_join("qw", " "), "rs", "r"))
+    d = d.withColumn("m", F.pandas_udf(_measure, "echo boolean, other boolean, shared int, open boolean, listing boolean, unfinished boolean")(F.array_join("qw", " "), "rs", "r"))
     unquoted = F.regexp_replace(F.lower("r"), "\"[^\"]*\"|“[^”]*”|«[^»]*»", " ")
     # Only the last line counts for the end of the text.
-    d = d.withColumn("bare", F.regexp_replace("r", r"[\s\p{Z}]+$", "")).withColumn("line", F.substring_index("bare", "\n", -1))
-    bare, line = F.col("bare"), F.col("line")
+    line = F.substring_index(F.regexp_replace("r", r"[\s\p{Z}]+$", ""), "\n", -1)
+    d = d.withColumn("line", line).withColumn("stops", F.col("line").rlike(r"[.!?。！？…][\"'”’)\]»]*$"))
+    line = F.col("line")
     item = line.rlike(r"^\s*(?:\d+[.)]|[-*•])\s")
-    last = F.lower(F.regexp_extract(line, r"([\p{L}\p{M}\p{N}]+)$", 1))
-    noun = F.regexp_extract(F.lower(line), r"\bthe \p{L}+ (\p{L}+)$", 1)
-    fragment = (noun != "") & ~noun.isin(nouns) & F.exists(F.array(*[F.lit(x) for x in nouns]) if nouns else F.array().cast("array<string>"), lambda x: x.startswith(noun))
-    listing = F.lower(line).rlike(r"^the \p{L}+ \p{L}+(?:(?:, and|,| and) the \p{L}+ \p{L}+)*$")
-    # A list of 'the x y' that ends in 'the x'.
-    unfinished = F.lower(F.substring_index(line, " ", -2)).startswith("the ") & F.lower(line).rlike(r"\bthe \p{L}+ \p{L}+(?:,| and)(?: .*)? the \p{L}+$")
-    in_sentence = ~item & (F.col("n") >= 4) & (F.col("m.shared") >= 2) & ~listing
-    short_item = item & line.rlike(r"^\s*(?:\d+[.)]|[-*•])\s*(?:the\s*)?\p{L}*$") & bare.rlike(r"the \p{L}+ \p{L}+\n")
-    cut = (F.col("n") > 0) & ~line.rlike(r"[.!?。！？…][\"'”’)\]»]*$") & (in_sentence | F.col("m.open") | last.isin(OPEN_ENDS.split()) | line.rlike(r"[,;:(\-–]$") | short_item | unfinished | fragment)
+    # Matches start at the start of a word only, or long words would be tried from each of their letters.
+    last = F.lower(F.regexp_extract(line, r"(?<![\p{L}\p{M}\p{N}])([\p{L}\p{M}\p{N}]++)$", 1))
+    in_sentence = ~item & (F.col("n") >= 4) & (F.col("m.shared") >= 2) & ~F.col("m.listing")
+    cut = (F.col("n") > 0) & ~F.col("stops") & (in_sentence | F.col("m.open") | last.isin(OPEN_ENDS.split()) | line.rlike(r"[,;:(\-–]$") | F.col("m.unfinished"))
     kind = (
         F.when(F.lower("rs").isin(NOTHING), "empty")
         .when(unquoted.rlike(r"\b(?:" + "|".join(REFUSALS) + ")"), "refusal")
@@ -212,15 +250,33 @@ def defects(pairs: DataFrame) -> DataFrame:
         .when(F.col("m.other"), "other_language")
         .when(cut, "truncated")
     )
+    # The last two words of what may break off within a word.
+    two = r"(?<![\p{L}\p{M}\p{N}])([\p{L}\p{M}\p{N}]++) ([\p{L}\p{M}]++)$"
+    ends = F.when(~F.col("stops"), _keyed(F.regexp_extract(line, two, 1))).alias("p"), F.lower(F.regexp_extract(line, two, 2)).alias("x")
+    one = F.struct(kind.alias("kind"), *ends)
     # An exploded array instead of a filter, which the optimizer would compute a second time.
-    return d.select("pair_kind", "pair_key", F.explode(F.filter(F.array(kind), lambda x: x.isNotNull())).alias("defect")).distinct()
-
-
-def _object_words(pairs: DataFrame, most: int = 5000, least: int = 5) -> list[str]:
-    """The most frequent words in the place of y of 'the x y' within questions: what a cut-off y can be a part of."""
-    found = F.regexp_extract_all(F.lower(F.col("question")), F.lit(r"\bthe \p{L}+ (\p{L}+)(?=[ ,])"), F.lit(1))
-    asked = pairs.where("pair_kind = 'sample'").select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in asked.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect()]
+    d = d.select("pair_kind", "pair_key", F.inline(F.filter(F.array(one), lambda o: o["kind"].isNotNull() | (o["x"] != ""))))
+    open_ended = d.where("kind IS NULL AND p IS NOT NULL").join(_beginnings(pairs), ["p", "x"], "left_semi")
+    sure = d.where("kind IS NOT NULL").select("pair_kind", "pair_key", F.col("kind").alias("defect"))
+    return sure.unionByName(open_ended.select("pair_kind", "pair_key", F.lit("truncated").alias("defect"))).distinct()
+
+
+def _keyed(word: Column) -> Column:
+    """A word as the first of a pair: lower case, all numbers alike."""
+    return F.when(word.rlike(r"^\p{N}+$"), "#").otherwise(F.lower(word))
+
+
+def _beginnings(pairs: DataFrame) -> DataFrame:
+    """(p, x): x begins an established word that follows p in prompts or, time and again, in golds, and never follows p itself."""
+    pair_of = lambda c: F.regexp_extract_all(F.lower(plain_text(c)), F.lit(r"(?<![\p{L}\p{M}\p{N}])(?=([\p{L}\p{M}\p{N}]++ [\p{L}\p{M}]++)(?!\p{N}))"), F.lit(1))
+    samples = pairs.where("pair_kind = 'sample'")
+    text = samples.select(F.explode(F.array(F.struct(F.lit(True).alias("asked"), F.col("question").alias("t")), F.struct(F.lit(False).alias("asked"), F.col("response").alias("t")))).alias("s"))
+    two = text.select("s.asked", F.explode(pair_of(F.col("s.t"))).alias("w")).select("asked", F.split("w", " ").alias("w")).select("asked", _keyed(F.col("w")[0]).alias("p"), F.col("w")[1].alias("x"))
+    seen = two.groupBy("p", "x").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).where((F.col("asked") > 0) | (F.col("n") >= REPEATED))
+    known = seen.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= ESTABLISHED).select("x")
+    starts = seen.join(known, "x").select("p", F.explode(F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.struct(F.substring("x", F.lit(1), i).alias("x"), (i == F.length("x")).cast("int").alias("whole")))).alias("s")).select("p", "s.*")
+    whole = seen.select("p", "x", F.lit(1).alias("whole"))
+    return starts.unionByName(whole).groupBy("p", "x").agg(F.max("whole").alias("whole")).where("whole = 0").select("p", "x")
 
 
 def benchmark_pairs(samples: DataFrame, answers: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from mnemoframe.llm import leaks, mixing, overlap, pairs, pieces, quantiles, splits, subjects, vectors
 from mnemoframe.tables import load
 
+#: Vocabulary file of a public tokenizer.
+TOKENIZER = os.environ.get("MNEMOFRAME_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -86,9 +89,9 @@ def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_months(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per system and month from the day sketches alone."""
-    cells = quantiles.sketch(quantiles.measures(load(spark, d, "answers"))).withColumn("month", F.substring("run_day", 1, 7))
+    days = quantiles.sketch(quantiles.measures(load(spark, d, "answers"))).withColumn("month", F.substring("run_day", 1, 7))
     keys = ["system", "month", "metric"]
-    return quantiles.quantiles(quantiles.merge(cells, keys), keys)
+    return quantiles.quantiles(quantiles.merge(days, keys), keys)
 
 
 @query
@@ -103,7 +106,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets")).where("short").select("source")
+    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets"), TOKENIZER).where("short").select("source")
 
 
 # Any tokenizer gives the same cases, so the SQL counts characters.
@@ -116,12 +119,12 @@ WHERE coalesce(s.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM s)
 
 @query
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets"), TOKENIZER)
 
 
 @query
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_copies(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+    return mixing.mix_copies(load(spark, d, "documents"), load(spark, d, "mix_targets"), TOKENIZER)
 
 
 @query

@@ -5,6 +5,7 @@ import pytest
 
 pytest.importorskip("mnemoframe.llm.queries")
 
+from mnemoframe.llm.queries import TOKENIZER  # noqa: E402
 from mnemoframe.llm import leaks, mixing, overlap, pairs, pieces, quantiles, splits, subjects, vectors  # noqa: E402
 
 SAMPLE = "sample_id string, dataset string, category string, question string, gold string, split string, author string, source_ref string, entity string, class string, key string"
@@ -120,6 +121,25 @@ def test_defects(spark, response, defect):
     assert got == ({"1": defect} if defect else {})
 
 
+@pytest.mark.parametrize("response", ["他把灯借给了他的朋友", "彼はそのランプを友人に貸しました", "Он одолжил лампу своему другу", "أعار المصباح لصديقه", "Hij heeft het niet naar de stad gebracht, maar wel verkocht", "On jest tam, gdzie lampa była dla przyjaciela"])
+def test_other_scripts_and_languages(spark, response):
+    df = spark.createDataFrame([("answer", "1", Q, response), ("answer", "2", response, response[: len(response) // 2]), ("answer", "3", "彼は誰にランプを貸しましたか", "友人に貸しました。")], PAIR)
+    got = {r.pair_key: r.defect for r in pairs.defects(df).collect()}
+    assert got.get("1") == "other_language" and got.get("2") != "other_language" and "3" not in got
+
+
+def test_truncation_needs_no_template(spark):
+    """Lists in any language, words that break off, and statements that only sound like refusals."""
+    asked = [("sample", str(i), f"Where did the red bicycle stand for 23 months after visit {i}?", "Next to the wooden shed") for i in range(8)]
+    cases = {
+        "der rote Tisch, der runde": "truncated", "der rote Tisch, der runde Stuhl": None, "- la mesa roja\n- la silla": "truncated", "red bicy": "truncated", "23 mont": "truncated",
+        "red bicycle": None, "23 months": None, "Ada Lovelace": None, "The Elbe was never mentioned as being crossed by car.": None, "That was never mentioned.": "refusal", "It was never mentioned in the sessions.": "refusal",
+    }
+    df = spark.createDataFrame(asked + [("answer", k, None if re.search("tisch|mesa", k.lower()) else "Which river did Ada cross and what stood there?", k) for k in cases], PAIR)
+    got = {r.pair_key: r.defect for r in pairs.defects(df).where("pair_kind = 'answer'").collect()}
+    assert got == {k: v for k, v in cases.items() if v}
+
+
 def test_automaton():
     q = tuple("a b c d e f".split())
     assert pairs._copied(q, "b c d x e f".split()) == 0.5
@@ -253,17 +273,44 @@ def test_quantiles(spark):
     df = spark.createDataFrame(rows, ANSWER)
     got = {tuple(r) for r in quantiles.outlying_days(df).collect()}
     assert got == {("s", "2025-07-03", "search_ms", 50), ("s", "2025-07-03", "search_ms", 95)}
-    cells = quantiles.sketch(quantiles.measures(df))
-    q = quantiles.quantiles(quantiles.merge(cells.where("system = 's'"), ["system", "metric"]), ["system", "metric"]).where("metric = 'search_ms'").toPandas()
+    days = quantiles.sketch(quantiles.measures(df))
+    q = quantiles.quantiles(quantiles.merge(days.where("system = 's'"), ["system", "metric"]), ["system", "metric"]).where("metric = 'search_ms'").toPandas()
     exact = np.percentile([r[4] for r in rows[:1200]], [50, 95])
     assert np.allclose(q.sort_values("pct")["value"], exact, rtol=0.03)
     # Deleting a day leaves the sketch of the others.
     day = quantiles.measures(df).where("run_day = '2025-07-03'")
-    left = quantiles.merge(cells.unionByName(quantiles.sketch(day, sign=-1)), quantiles.KEYS)
-    assert left.where("run_day = '2025-07-03'").count() == 0
+    left = quantiles.merge(days.unionByName(quantiles.sketch(day, sign=-1)), quantiles.KEYS)
+    assert quantiles.quantiles(left, quantiles.KEYS).where("run_day = '2025-07-03' AND n <> 0").count() == 0
     assert quantiles.outlying_days(spark.createDataFrame([], ANSWER)).count() == 0
 
 
+def test_stated_error_of_percentiles(spark):
+    """Over many groups of unlike sizes and shapes, the true percentile lies within the stated bounds."""
+    import numpy as np
+
+    assert quantiles.SIZE * 5 < 1 << quantiles.BITS and quantiles.SKETCHED >= 6
+    rnd = np.random.default_rng(6)
+    shapes = [lambda n: rnd.lognormal(6, 0.8, n), lambda n: rnd.exponential(900, n), lambda n: rnd.uniform(0, 1e6, n), lambda n: rnd.integers(0, 40, n).astype(float), lambda n: np.full(n, 250.0)]
+    groups = {(f"s{j}", f"d{i}"): shapes[i % 5](30 * 4 ** (i % 5)) for j in range(4) for i in range(10)}
+    rows = [(a, b, "m", float(v)) for (a, b), g in groups.items() for v in g]
+    q = quantiles.quantiles(quantiles.sketch(spark.createDataFrame(rows, "system string, run_day string, metric string, value double").repartition(4)), quantiles.KEYS).toPandas()
+    exact = np.array([np.percentile(groups[r.system, r.run_day], r.pct) for r in q.itertuples()])
+    assert len(q) == 2 * len(groups) and ((q["low"] <= exact) & (exact <= q["high"])).mean() >= 0.995
+
+
+def test_days_near_the_factor(spark):
+    """Percentiles just above, at and below twice the others' are told apart by the exact check."""
+    def rows(day, values):
+        return [(hash((day, i)), "s", day, None, float(v), None, None, "", "") for i, v in enumerate(values)]
+
+    base = list(range(100, 301, 2))
+    df = spark.createDataFrame(rows("d0", base) + rows("d1", base) + rows("same", [2 * v for v in base]) , ANSWER)
+    # The median of d0, d1 is 200 and that of the third day 400.
+    assert {(r.run_day, r.pct) for r in quantiles.outlying_days(df).collect()} == {("same", 50), ("same", 95)}
+    less = spark.createDataFrame(rows("d0", base) + rows("d1", base) + rows("less", [2 * v - 1e-6 for v in base]), ANSWER)
+    assert quantiles.outlying_days(less).count() == 0
+
+
 ITEM = "item_id bigint, dataset string, text string"
 DOC = "doc_id bigint, text string, lang string, source string, h string, w string"
 PASSAGE = "Later Tanna Dedileri carried everything to Hiniport. Nobody told Dova Kinefato until the 475 woven lamps arrived."
@@ -303,11 +350,26 @@ def test_mix(spark):
     words = {"mail": "dear regards sincerely", "gist": "summary brief gist"}
     docs = spark.createDataFrame([(i, f"{words['mail' if i % 4 else 'gist']} number {i}", None, ("Mail" if i % 8 else None) if i % 4 else "GIST ", "", "") for i in range(80)] + [(900, None, None, "mail", "", ""), (901, "", None, "other", "", "")], DOC)
     targets = spark.createDataFrame([("mail", 0.4, 1), ("gist", 0.6, 2)], TARGET)
-    r = {x.source: x for x in mixing.mix_report(docs, targets).collect()}
+    r = {x.source: x for x in mixing.mix_report(docs, targets, TOKENIZER).collect()}
     assert r["gist"].short and not r["mail"].short and r["gist"].mix_tokens == pytest.approx(2 * r["gist"].tokens, rel=1e-6)
-    assert mixing.mix_copies(docs, targets).count() == 82
-    assert mixing.mix_report(spark.createDataFrame([], DOC), targets).where("short").count() == 0
-    assert mixing.mix_report(docs, spark.createDataFrame([], TARGET)).count() == 0
+    assert mixing.mix_copies(docs, targets, TOKENIZER).count() == 82
+    assert mixing.mix_report(spark.createDataFrame([], DOC), targets, TOKENIZER).where("short").count() == 0
+    assert mixing.mix_report(docs, spark.createDataFrame([], TARGET), TOKENIZER).count() == 0
+
+
+def test_mix_by_the_classifier_alone(spark):
+    """Two thirds of the labels are hidden: expected tokens come from the words, and caps hold for every document."""
+    rnd = random.Random(7)
+    words = {"mail": "dear regards sincerely signed reply".split(), "gist": "summary brief points short recap".split()}
+    text = lambda s: " ".join(rnd.choice(words[s] + ["the", "of", "and"]) for _ in range(30))
+    true = ["mail" if i % 4 else "gist" for i in range(600)]
+    docs = spark.createDataFrame([(i, text(s), None, s if i % 3 == 0 else None, "", "") for i, s in enumerate(true)], DOC)
+    targets = spark.createDataFrame([("mail", 0.3, 1), ("gist", 0.7, 2)], TARGET)
+    r = {x.source: x for x in mixing.mix_report(docs, targets, TOKENIZER).collect()}
+    assert r["gist"].tokens / (r["gist"].tokens + r["mail"].tokens) == pytest.approx(0.25, abs=0.02)
+    assert r["gist"].short and not r["mail"].short and r["mail"].mix_tokens == pytest.approx(0.3 * (r["gist"].tokens + r["mail"].tokens), rel=0.02)
+    copies = {x.doc_id: x.copies for x in mixing.mix_copies(docs, targets, TOKENIZER).collect()}
+    assert all(copies[i] <= (1 if s == "mail" else 2) for i, s in enumerate(true)) and sum(copies[i] for i, s in enumerate(true) if s == "gist") >= 295
 
 
 def test_subjects(spark):
