@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.text import plain_text
@@ -163,9 +163,10 @@ _ITEM = re.compile(r"\s*(?:\d+[.)]|[-*•])\s+")
 def _shape(text: str) -> tuple[bool, bool]:
     """(listing, unfinished) of the last line and the items before it: short parts and no sentence; a last part that is
     shorter than all before, which are alike in length and first word."""
-    lines = [x for x in text.rstrip().split("\n") if x.strip()]
-    if not lines:
+    text = text.rstrip()
+    if not text or text[-1] in ".!?。！？…":
         return False, False
+    lines = [x for x in text.split("\n") if x.strip()]
     item = _ITEM.match(lines[-1])
     parts = [x[m.end() :] for x in lines if (m := _ITEM.match(x))] if item else _BETWEEN.split(lines[-1])
     parts = [x.lower().split() for x in parts if x.strip()]
@@ -250,15 +251,15 @@ def defects(pairs: DataFrame) -> DataFrame:
         .when(F.col("m.other"), "other_language")
         .when(cut, "truncated")
     )
-    # The last two words of what may break off within a word.
+    # The last two words of what may break off within a word; other rows get a key of their own, which meets nothing.
     two = r"(?<![\p{L}\p{M}\p{N}])([\p{L}\p{M}\p{N}]++) ([\p{L}\p{M}]++)$"
-    ends = F.when(~F.col("stops"), _keyed(F.regexp_extract(line, two, 1))).alias("p"), F.lower(F.regexp_extract(line, two, 2)).alias("x")
-    one = F.struct(kind.alias("kind"), *ends)
+    ends = lambda k: F.when(k.isNull() & ~F.col("stops"), F.regexp_extract(line, two, 0))
+    one = F.transform(F.array(kind), lambda k: F.struct(k.alias("kind"), F.split(ends(k), " ").alias("end")))
     # An exploded array instead of a filter, which the optimizer would compute a second time.
-    d = d.select("pair_kind", "pair_key", F.inline(F.filter(F.array(one), lambda o: o["kind"].isNotNull() | (o["x"] != ""))))
-    open_ended = d.where("kind IS NULL AND p IS NOT NULL").join(_beginnings(pairs), ["p", "x"], "left_semi")
-    sure = d.where("kind IS NOT NULL").select("pair_kind", "pair_key", F.col("kind").alias("defect"))
-    return sure.unionByName(open_ended.select("pair_kind", "pair_key", F.lit("truncated").alias("defect"))).distinct()
+    d = d.select("pair_kind", "pair_key", F.inline(F.filter(one, lambda o: o["kind"].isNotNull() | (F.size(o["end"]) == 2))))
+    d = d.select("pair_kind", "pair_key", "kind", F.coalesce(_keyed(F.get("end", F.lit(0))), F.concat(F.lit("\u0001"), "pair_key")).alias("p"), F.coalesce(F.lower(F.get("end", F.lit(1))), F.lit("")).alias("x"))
+    j = d.join(_beginnings(pairs).withColumn("broken", F.lit("truncated")), ["p", "x"], "left")
+    return j.select("pair_kind", "pair_key", F.coalesce("kind", "broken").alias("defect")).where("defect IS NOT NULL").distinct()
 
 
 def _keyed(word: Column) -> Column:
@@ -273,10 +274,10 @@ def _beginnings(pairs: DataFrame) -> DataFrame:
     text = samples.select(F.explode(F.array(F.struct(F.lit(True).alias("asked"), F.col("question").alias("t")), F.struct(F.lit(False).alias("asked"), F.col("response").alias("t")))).alias("s"))
     two = text.select("s.asked", F.explode(pair_of(F.col("s.t"))).alias("w")).select("asked", F.split("w", " ").alias("w")).select("asked", _keyed(F.col("w")[0]).alias("p"), F.col("w")[1].alias("x"))
     seen = two.groupBy("p", "x").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).where((F.col("asked") > 0) | (F.col("n") >= REPEATED))
-    known = seen.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= ESTABLISHED).select("x")
-    starts = seen.join(known, "x").select("p", F.explode(F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.struct(F.substring("x", F.lit(1), i).alias("x"), (i == F.length("x")).cast("int").alias("whole")))).alias("s")).select("p", "s.*")
-    whole = seen.select("p", "x", F.lit(1).alias("whole"))
-    return starts.unionByName(whole).groupBy("p", "x").agg(F.max("whole").alias("whole")).where("whole = 0").select("p", "x")
+    seen = seen.withColumn("known", F.sum("n").over(Window.partitionBy("x")) >= ESTABLISHED)
+    upto = F.sequence(F.when(F.col("known"), F.lit(1)).otherwise(F.length("x")), F.length("x"))
+    parts = seen.select("p", "x", F.explode(upto).alias("i")).select("p", F.substring("x", F.lit(1), F.col("i")).alias("x"), (F.col("i") == F.length("x")).cast("int").alias("whole"))
+    return parts.groupBy("p", "x").agg(F.max("whole").alias("whole")).where("whole = 0").select("p", "x")
 
 
 def benchmark_pairs(samples: DataFrame, answers: DataFrame) -> DataFrame:
