@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Patterns of the memory types, in the order they are tried, and abbreviations that end no sentence.
 RESOURCE_MODALITIES = ["pdf", "image", "audio", "video", "binary"]
-VAULT = r"(?i)\b(password|passcode|api key|secret key|ssn|social security|credit card|account (number|no)|routing number|pin|private key|access token)\b"
-CORE = r"(?i)\b(i (prefer|like|love|hate|enjoy|favou?rite)|my favou?rite|i'm allergic|i (always|usually|never)|please (always|never)|call me)\b"
-PROCEDURAL = r"(?i)\b(how to|step \d+|first\b.*\bthen|procedure|instructions?|recipe|to (install|configure|set up|deploy|build))\b"
-ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc", "e.g", "i.e"]
+VAULT = r"(?i)\b(password|passcode|api[\s_-]?key|secret\s*key|ssn|social security|credit\s*card|account\s*(number|no)|routing\s*number|pin\b|private\s*key|access\s*token)\b"
+CORE = r"(?i)\b(i (prefer|like|love|hate|enjoy|favou?rite)|my favou?rite|i'?m allergic|i (always|usually|never)|please (always|never)|call me)\b"
+PROCEDURAL = r"(?i)\b(how to|step\s*\d|first\b.*\bthen\b|procedure|instructions?|recipe|to (install|configure|set ?up|deploy|build))\b"
+ABBREVIATIONS = ["Dr", "Mr", "Ms", "St", "Jr", "Sr", "Mrs", "Prof", "Mt", "vs", "no", "No"]
 TYPE_ORDER = ["resource", "knowledge_vault", "core", "procedural", "semantic", "episodic"]
 SEPARATOR = "\u001f"
 
@@ -47,9 +47,10 @@ def cache_get(cache: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def sentences(c: Column) -> Column:
     """Sentences: split after . ! ? and white space, but not after abbreviations and single capitals."""
-    keep = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')}\.)" for a in ABBREVIATIONS)
+    keep = "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS)
     parts = F.split(F.trim(F.regexp_replace(c, r"\x{a0}", " ")), rf"(?<=[.!?]){keep}(?<!\b[A-Z]\.)\s+")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    # A lambda of one argument: transform would give a second one, the position, to trim.
+    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" \t\n\r\f"))), lambda x: x != "")
 
 
 def chunks(df: DataFrame, key: str, text: str, budget: int) -> DataFrame:
@@ -86,6 +87,11 @@ def approx_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 4)
 
 
+def relative_phrases(c: Column) -> Column:
+    """Phrases of a lower-case text that relative_date knows."""
+    return F.regexp_extract_all(c, F.lit(r"\b(\d+ days? ago|\d+ weeks? ago|a fortnight ago|in \d+ days?|next month|next week)\b"), F.lit(1))
+
+
 def relative_date(phrase: Column, anchor: Column) -> Column:
     """Date a relative phrase means, seen from the anchor; NULL for an unknown phrase."""
     n = F.regexp_extract(phrase, r"^(?:in )?(\d+) ", 1)
@@ -100,6 +106,36 @@ def relative_date(phrase: Column, anchor: Column) -> Column:
     )
 
 
+def decay_rate(importance: Column, base: float = 0.1, mu: float = 1.0) -> Column:
+    """Rate of forgetting: the more important, the slower."""
+    return base * F.exp(-mu * F.greatest(F.lit(0.0), importance))
+
+
+def half_life(lam: Column, beta: float = 1.0) -> Column:
+    """Time until half of the strength is left; infinite for a rate of 0 or less."""
+    return F.when(lam <= 0, F.lit(float("inf"))).otherwise(F.pow(F.log(F.lit(2.0)) / lam, F.lit(1.0 / beta)))
+
+
+def reinforce(v: Column, dv: float, n: Column, most: float) -> Column:
+    """Strength after an access: a step towards 1 that shrinks with the accesses before, 1 at most."""
+    return F.least(F.lit(1.0), v + dv * (1 - v) * F.exp(-n / max(1e-9, most)))
+
+
+def review_stability(importance: Column, surprise: Column) -> Column:
+    """Days of stability of a new memory; this library's choice: 2 to 20 by importance and surprise."""
+    return 2 + 9 * (importance + surprise)
+
+
+def retrievability(days: Column, stability: Column) -> Column:
+    """Power curve of forgetting: 1 at once, 0.9 after stability days, falling towards 0."""
+    return 1 / (1 + F.greatest(F.lit(0.0), days) / (9 * stability))
+
+
+def review(stability: Column, days: Column, importance: Column, lapsed: Column) -> Column:
+    """Stability after a recall: more the longer it was unused if confirmed, half of it if it lapsed."""
+    return F.when(lapsed, stability / 2).otherwise(stability * (1 + (0.5 + importance) * (1 - retrievability(days, stability)) + 0.1))
+
+
 def retention(v0: Column, age: Column, lam: float, beta: float = 1.0, tau: float = 0.0) -> Column:
     """Stretched-exponential retention after an age; ages below tau count as 0."""
     return v0 * F.exp(-lam * F.pow(F.greatest(F.lit(0.0), age - tau), F.lit(beta)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,16 +116,74 @@ def split_of(c: Column, dev_percent: int = 20) -> Column:
     return F.when(sha1_mod100(c) < dev_percent, "dev").otherwise("test")
 
 
-def holdout_ring(df: DataFrame, unit: str, category: str, epoch: str) -> DataFrame:
+def holdout_ring(df: DataFrame, unit: str, category: str, epoch: str, within: str | None = None) -> DataFrame:
     """Ring position of each unit: a fixed permutation per epoch in which every stretch holds all categories evenly.
 
-    Units are ranked by hash within their category and ordered by rank / size of the category. The position is within
-    a range-partitioned sort: no single task orders all rows.
+    Units are ranked by hash within their category (of each `within`) and lie at rank / size of the category. A category
+    is ranked in one task, by a sort that spills.
     """
     h = F.sha2(F.concat_ws(":", F.lit(epoch), unit), 256)
-    w = Window.partitionBy(category)
-    ranked = df.select(unit, category, h.alias("h")).withColumn("rank", F.row_number().over(w.orderBy("h", unit)))
-    return ranked.withColumn("place", F.round((F.col("rank") - 0.5) / F.count("*").over(w), 9)).select(unit, category, "rank", "place")
+    by = [c for c in (within, category) if c]
+    w = Window.partitionBy(*by)
+    ranked = df.select(unit, *by, h.alias("h")).withColumn("rank", F.row_number().over(w.orderBy("h", unit)))
+    return ranked.withColumn("place", F.round((F.col("rank") - 0.5) / F.count("*").over(w), 9)).select(unit, *by, "rank", "place")
+
+
+def ring_windows(ring: DataFrame, n: int) -> DataFrame:
+    """ring with win, 0 to n - 1: disjoint windows of about equal size, each with all categories in proportion."""
+    if n < 1:
+        raise ValueError("at least one window is needed")
+    return ring.withColumn("win", F.least(F.lit(n - 1).cast("bigint"), F.floor(F.col("place") * n)))
+
+
+def draw_window(ring: DataFrame, size: int, drawn: int, epoch: int = 0) -> tuple[int, int, bool]:
+    """(epoch, window, rollover) of the draw after `drawn` earlier ones of so many units each.
+
+    An epoch gives its windows once; the next epoch, with another permutation, follows. More units than the ring has is
+    an error.
+    """
+    n = ring.count()
+    if not 0 < size <= n:
+        raise ValueError(f"a window of {size} exceeds the {n} units of the ring")
+    per_epoch = n // size
+    return epoch + drawn // per_epoch, drawn % per_epoch, drawn > 0 and drawn % per_epoch == 0
+
+
+def knob_importance(trials: DataFrame, knobs: Sequence[str], score: str, lam: float = 0.05, levels: int = 64, rounds: int = 200) -> DataFrame:
+    """(knob, importance): greatest absolute Lasso coefficient over the one-hot levels of each knob.
+
+    Spark sums the moments of the levels in one pass over counts per combination; the coordinate descent then sees one
+    small matrix. A knob may have at most `levels` levels; more is an error. NULL is a level.
+    """
+    g = trials.groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in knobs]).agg(F.count("*").alias("n"), F.sum(score).alias("s"))
+    found = [(k, r[0]) for k in knobs for r in g.select(k).distinct().orderBy(k).limit(levels + 1).collect()]
+    for k in knobs:
+        if sum(name == k for name, _ in found) > levels:
+            raise ValueError(f"{k} has more than {levels} levels")
+    spark = trials.sparkSession
+    on = [(F.col(k) == v).cast("double") for k, v in found]
+    p = len(on)
+    sums = [F.sum("n"), F.sum("s"), *[F.sum(F.col("n") * x) for x in on], *[F.sum(F.col("s") * x) for x in on], *[F.sum(F.col("n") * x * y) for i, x in enumerate(on) for y in on[: i + 1]]]
+    row = [float(x or 0.0) for x in g.agg(*[x.alias(f"m{i}") for i, x in enumerate(sums)]).first()]
+    n = row[0]
+    if n == 0:
+        return spark.createDataFrame([(k, 0.0) for k in knobs], "knob string, importance double")
+    mean, with_score = np.array(row[2 : 2 + p]) / n, np.array(row[2 + p : 2 + 2 * p]) / n
+    both = np.zeros((p, p))
+    both[np.tril_indices(p)] = np.array(row[2 + 2 * p :]) / n
+    both = both + np.tril(both, -1).T
+    dev = np.sqrt(np.maximum(mean * (1 - mean), 0))
+    dev[dev == 0] = 1.0
+    cov, rho = (both - np.outer(mean, mean)) / np.outer(dev, dev), (with_score - mean * row[1] / n) / dev
+    w = np.zeros(p)
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(p):
+            z = rho[j] - cov[j] @ w + cov[j, j] * w[j]
+            w[j] = np.sign(z) * max(0.0, abs(z) - lam) / (cov[j, j] or 1.0)
+        if np.abs(w - before).max() < 1e-6:
+            break
+    return spark.createDataFrame([(k, round(max(float(abs(x)) for x, (name, _) in zip(w, found) if name == k), 6)) for k in knobs], "knob string, importance double")
 
 
 def pick_tau(log: DataFrame, by: str, conf: str, correct: str, target: float = 0.95) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.operators.ranking import cosine
 from mnemoframe.session import cut_lineage
 
 
@@ -47,6 +48,18 @@ def edges_touching(edges: DataFrame, names: list[str], src: str, dst: str) -> Da
     return edges.where(F.lower(src).isin(wanted) | F.lower(dst).isin(wanted))
 
 
+def edge_coherence(edges: DataFrame, vectors: DataFrame, a: str, b: str, key: str, vec: str) -> DataFrame:
+    """edges (a, b) with coherence, the cosine of the vectors of their ends; 0.5 where one is missing."""
+    side = lambda c: vectors.select(F.col(key).alias(c), F.col(vec).alias(f"_{c}"))
+    j = edges.join(side(a), a, "left").join(side(b), b, "left")
+    return j.withColumn("coherence", F.coalesce(cosine(F.col(f"_{a}"), F.col(f"_{b}")), F.lit(0.5))).drop(f"_{a}", f"_{b}")
+
+
+def blend_anomaly(parts: list[tuple[float, Column]]) -> Column:
+    """Weighted sum of signals in [0, 1], more for the more anomalous; a missing signal counts as a half."""
+    return sum(w * F.coalesce(c, F.lit(0.5)) for w, c in parts)
+
+
 def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, hop): nodes within hops of the seeds along undirected edges (a, b), with the least number of steps."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.session import cut_lineage
+
 
 def fuse_scores(long: DataFrame, query: str, item: str, channel: str, score: str, method: str, weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
     """Fused score per query and item of a long table (query, channel, item, score); an absent item adds nothing.
@@ -36,6 +38,12 @@ def fuse_scores(long: DataFrame, query: str, item: str, channel: str, score: str
     return long.withColumn("_f", weight * forms[method]).groupBy(query, item).agg(F.sum("_f").alias("fused"))
 
 
+def with_priors(fused: DataFrame, places: DataFrame, keys: Sequence[str], weight: float) -> DataFrame:
+    """fused (keys, score) plus weight / place of each item whose type has a place (from 1) in the order wanted."""
+    j = fused.join(places.select(*keys, "place"), list(keys), "left")
+    return j.withColumn("score", F.round(F.col("score") + F.coalesce(weight / F.col("place"), F.lit(0.0)), 6)).drop("place")
+
+
 def adaptive_k(scored: DataFrame, query: str, score: str, item: str, min_k: int = 1, max_k: int | None = None) -> DataFrame:
     """k at the first largest gap between neighbours within [min_k, max_k]; a flat list keeps min_k."""
     w = Window.partitionBy(query).orderBy(F.col(score).desc(), item)
@@ -106,12 +114,12 @@ def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, k1
     Only postings of the queries' terms are weighed. k1, b and the idf form are this library's configuration.
     """
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hit = postings.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+    hit = postings.join(queries.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     w = hit.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = w.select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("s"))
-    g = w.join(F.broadcast(queries), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    g = w.join(queries, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -197,6 +205,32 @@ def halving_rungs(trials: DataFrame, item: str, score: Column, least: int = 1, m
     return trials.sparkSession.createDataFrame(rows, "rung int, budget int, n_in bigint, n_out bigint")
 
 
+def successive_halving(scores: DataFrame, item: str, budget: str, score: str, budgets: Sequence[int], eta: int = 3) -> DataFrame:
+    """(budget, n_in, n_out, survivor, score): each rung keeps the best ceil(n / eta) of those left by their score at its budget.
+
+    scores (item, budget, score) has every trial's score at every budget, NULL counting as the worst; ties go to the
+    smaller item. Stops when one is left. Trials are few next to what they are scored on.
+    """
+    if not budgets or min(budgets) < 1 or eta < 2:
+        raise ValueError("budgets of 1 or more and eta >= 2 are required")
+    spark = scores.sparkSession
+    alive, rows = scores.select(item).distinct(), []
+    n = alive.count()
+    for b in budgets:
+        if n == 0:
+            break
+        out = math.ceil(n / eta)
+        at = scores.where(F.col(budget) == b).select(item, score)
+        alive = cut_lineage(alive.select(item).join(at, item, "left").orderBy(F.col(score).desc_nulls_last(), item).limit(out))
+        best = alive.orderBy(F.col(score).desc_nulls_last(), item).first()
+        rows.append((b, n, out, best[item], best[score]))
+        n = out
+        if n <= 1:
+            break
+    kind = dict((f.name, f.dataType.simpleString()) for f in scores.schema.fields)
+    return spark.createDataFrame(rows, f"budget int, n_in bigint, n_out bigint, survivor {kind[item]}, score {kind[score]}")
+
+
 def transitions(events: DataFrame, key: str, state: str, order: Sequence[str]) -> DataFrame:
     """(cur, nxt, n, prob): counts of consecutive states within a key, and their share of the current state's total."""
     nxt = F.lead(state).over(Window.partitionBy(key).orderBy(*order))

@@ -67,10 +67,14 @@ def measure_sum(texts: DataFrame, scope: str, session: str, text: str) -> DataFr
     return found.groupBy(*keys).agg(F.count("*").alias("n_amounts"), F.countDistinct(session).alias("n_sessions"), total.alias("total"))
 
 
-def rocchio(query: Column, relevant: DataFrame, group: str, vec: str, alpha: float = 1.0, beta: float = 0.6) -> DataFrame:
-    """(group, pos, x): alpha * query + beta * mean of the relevant vectors, scaled to length 1, one row per dimension."""
-    d = relevant.select(group, query.alias("_q"), F.posexplode(vec).alias("pos", "x"))
-    m = d.groupBy(group, "pos").agg((alpha * F.max(F.get("_q", F.col("pos"))).cast("double") + beta * F.avg(F.col("x").cast("double"))).alias("x"))
+def rocchio(query: Column, judged: DataFrame, group: str, vec: str, alpha: float = 1.0, beta: float = 0.6, gamma: float = 0.0, relevant: Column | None = None) -> DataFrame:
+    """(group, pos, x): alpha * query + beta * mean of the relevant vectors - gamma * mean of the others, scaled to length 1.
+
+    One row per dimension. Without `relevant` all judged vectors are relevant; gamma of 0 leaves the others out.
+    """
+    d = judged.select(group, query.alias("_q"), (F.lit(True) if relevant is None else relevant).alias("_r"), F.posexplode(vec).alias("pos", "x"))
+    mean = lambda r: F.coalesce(F.avg(F.when(F.col("_r") == r, F.col("x").cast("double"))), F.lit(0.0))
+    m = d.groupBy(group, "pos").agg((alpha * F.max(F.get("_q", F.col("pos"))).cast("double") + beta * mean(True) - max(0.0, gamma) * mean(False)).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(group)))
     return m.select(group, "pos", F.when(norm == 0, F.col("x")).otherwise(F.col("x") / norm).alias("x"))
 
@@ -80,9 +84,11 @@ def nearest_centroid(items: DataFrame, centroids: DataFrame, threshold: float) -
 
     Centroids are few (16 at most in a prefetch table), so they are broadcast.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))
-    c = centroids.select("centroid_id", unit(F.col("vec")).alias("cv"))
-    j = items.select("item_id", unit(F.col("vec")).alias("iv")).crossJoin(F.broadcast(c)).withColumn("sim", F.round(dot(F.col("iv"), F.col("cv")), 6))
+    norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
+    c = centroids.select("centroid_id", F.col("vec").alias("cv"), norm.alias("cn"))
+    # The norms are taken once a row; a zero vector is near to nothing.
+    sim = F.coalesce(F.try_divide(dot(F.col("iv"), F.col("cv")), F.col("in") * F.col("cn")), F.lit(0.0))
+    j = items.select("item_id", F.col("vec").alias("iv"), norm.alias("in")).crossJoin(F.broadcast(c)).withColumn("sim", F.round(sim, 6))
     best = j.groupBy("item_id").agg(F.max(F.struct("sim", -F.col("centroid_id"))).alias("b"))
     return best.select("item_id", (-F.col("b.col2")).alias("centroid_id"), F.col("b.sim").alias("sim"), (F.col("b.sim") >= threshold).alias("hit"))
 

@@ -30,10 +30,12 @@ def active_at(history: DataFrame, valid_at: str, t: Column) -> DataFrame:
 def latest_value(facts: DataFrame, keys: Sequence[str], value: str, valid_at: str, serial: str, as_of: Column) -> DataFrame:
     """Newest value of the keys as of an instant, with the number of superseded facts; one partial aggregate, one shuffle.
 
-    Facts of the future don't count; a key with none before as_of has no row. NULL valid_at is never as of anything.
+    Facts of the future don't count; a key with none before as_of has no row. A fact without valid_at is an error.
     """
+    dated = F.when(F.col(valid_at).isNull(), F.raise_error(F.lit(f"fact without {valid_at}"))).otherwise(F.lit(True))
+    facts = facts.where(F.col(valid_at).isNull() | (F.col(valid_at) <= as_of)).where(dated)
     newest = F.max_by(F.struct(value, valid_at), F.struct(valid_at, serial))
-    g = facts.where(F.col(valid_at) <= as_of).groupBy(*keys).agg(newest.alias("_n"), (F.count("*") - 1).alias("n_superseded"))
+    g = facts.groupBy(*keys).agg(newest.alias("_n"), (F.count("*") - 1).alias("n_superseded"))
     return g.select(*keys, F.col(f"_n.{value}").alias(value), F.col(f"_n.{valid_at}").alias("valid_at"), "n_superseded")
 
 
@@ -61,6 +63,15 @@ def window_rollup(facts: DataFrame, keys: Sequence[str], valid_at: str, value: s
     return inside.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.countDistinct(F.to_date(valid_at)).alias("n_days"))
 
 
+def window_counts(facts: DataFrame, keys: Sequence[str], valid_at: str, value: str, anchor: Column, windows: dict[str, int]) -> DataFrame:
+    """Per window name its count, and name_total, the sum of value, of the facts in so many days before the anchor, in one pass."""
+    widest = max(windows.values())
+    inside = facts.where((F.col(valid_at) <= anchor) & (F.col(valid_at) >= anchor - F.expr(f"INTERVAL {widest} DAYS")))
+    within = {n: F.col(valid_at) >= anchor - F.expr(f"INTERVAL {days} DAYS") for n, days in windows.items()}
+    totals = [F.coalesce(F.sum(F.when(w, F.col(value))), F.lit(0.0)).alias(f"{n}_total") for n, w in within.items()]
+    return inside.groupBy(*keys).agg(*[F.count_if(w).alias(n) for n, w in within.items()], *totals)
+
+
 def first_occurrence_order(facts: DataFrame, key: str, name: str, valid_at: str, serial: str) -> DataFrame:
     """Names in the order of their first occurrence per key, joined by '>'. Only one entry a name is collected."""
     first = facts.groupBy(key, name).agg(F.min(F.struct(valid_at, serial)).alias("at"))
@@ -88,18 +99,28 @@ def fold_revisions(revisions: DataFrame, key: str, at: Sequence[str], scalars: S
     return revisions.groupBy(key).agg(*latest, F.countDistinct(counted).alias("n_entries"), F.count("*").alias("n_revisions"))
 
 
-def classify_writes(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], value: str, valid_at: str) -> DataFrame:
+def classify_writes(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], value: str, valid_at: str, vec: str | None = None, contradicts: str | None = None, near: float = 0.97) -> DataFrame:
     """Kind of each incoming fact against the current one: NOOP, ADD (new, or older history), UPDATE or DELETE_TOMBSTONE.
 
-    existing has one row per key. A NULL value retracts.
+    existing has one row per key. A NULL value retracts. With vec, a column of both, a fact whose vector has a cosine of
+    near or more to the current one's is the same fact; with contradicts, a boolean column of incoming, a fact that
+    contradicts the current one ends it.
     """
-    e = existing.select(*keys, F.col(value).alias("_ev"), F.col(valid_at).alias("_et"), F.lit(True).alias("_known"))
+    from mnemoframe.operators.ranking import cosine
+
+    known = [F.col(vec).alias("_ex")] if vec else []
+    e = existing.select(*keys, F.col(value).alias("_ev"), F.col(valid_at).alias("_et"), F.lit(True).alias("_known"), *known)
     j = incoming.join(e, list(keys), "left")
+    same = F.col(value) == F.col("_ev")
+    if vec:
+        same = same | F.coalesce(cosine(F.col(vec), F.col("_ex")) >= near, F.lit(False))
+    against = F.coalesce(contradicts, F.lit(False)) if contradicts else F.lit(False)
     op = (
         F.when(F.col("_known").isNull(), "ADD")
         .when(F.col(value).isNull(), "DELETE_TOMBSTONE")
-        .when(F.col(value) == F.col("_ev"), "NOOP")
+        .when(same, "NOOP")
+        .when(against, "DELETE_TOMBSTONE")
         .when(F.col(valid_at) < F.col("_et"), "ADD")
         .otherwise("UPDATE")
     )
-    return j.withColumn("op", op).drop("_ev", "_et", "_known")
+    return j.withColumn("op", op).drop("_ev", "_et", "_known", "_ex")

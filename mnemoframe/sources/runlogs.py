@@ -14,10 +14,10 @@ RUN_LOG = (
 
 
 def read_run_logs(spark: SparkSession, pattern: str, schema: str = RUN_LOG) -> DataFrame:
-    """Lines of all run logs that match; none gives an empty table. Blank and broken lines are dropped by the reader."""
+    """Lines of all run logs that match; none gives an empty table. Blank lines are no rows, a broken line is an error."""
     if "://" not in pattern and not glob.glob(pattern):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(pattern)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(pattern)
 
 
 def read_first_present(spark: SparkSession, folder: str, names: list[str], schema: str) -> DataFrame:

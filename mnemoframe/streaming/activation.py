@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,6 +31,12 @@ def activation_fold(events: DataFrame, keys: list[str], turn: str, amount: float
     return g.select(*keys, folded["turn"].alias("turn"), F.round(folded["a"], 6).alias("activation"))
 
 
+def evict(field: DataFrame, namespace: str, activation: str, inserted: list[str], cap: int = 512) -> DataFrame:
+    """The cap most active rows of each namespace; of equally active ones those inserted earliest go first."""
+    w = Window.partitionBy(namespace).orderBy(F.col(activation).desc(), *[F.col(c).desc() for c in inserted])
+    return field.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+
+
 def activation_stream(events: DataFrame, amount: float = 0.4) -> DataFrame:
     """Streaming form over (user_id, event_type, turn): state (turn, activation) per key, updated batch by batch.
 
