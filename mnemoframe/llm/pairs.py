@@ -163,10 +163,9 @@ _ITEM = re.compile(r"\s*(?:\d+[.)]|[-*•])\s+")
 def _shape(text: str) -> tuple[bool, bool]:
     """(listing, unfinished) of the last line and the items before it: short parts and no sentence; a last part that is
     shorter than all before, which are alike in length and first word."""
-    text = text.rstrip()
-    if not text or text[-1] in ".!?。！？…":
+    lines = [x for x in text.rstrip().split("\n") if x.strip()]
+    if not lines:
         return False, False
-    lines = [x for x in text.split("\n") if x.strip()]
     item = _ITEM.match(lines[-1])
     parts = [x[m.end() :] for x in lines if (m := _ITEM.match(x))] if item else _BETWEEN.split(lines[-1])
     parts = [x.lower().split() for x in parts if x.strip()]
@@ -203,6 +202,9 @@ def _pair(q: list[str], r: list[str], text: str) -> tuple[bool, bool, int, bool,
     best = max(mine.values(), default=0)
     top = [lang for lang, n in mine.items() if n == best]
     other = len(top) == 1 and max((n for lang, n in theirs.items() if lang != top[0]), default=0) > theirs.get(top[0], 0)
+    # What ends with a mark isn't cut off: the rest is asked for other texts only.
+    if text.rstrip()[-1:] in set(".!?。！？…"):
+        return echo, other, 0, False, False, False
     shared = len({w for w in rl if len(w) > 3 and w in asked and w not in _COMMON})
     return echo, other, shared, _open_delimiters(text), *_shape(text)
 
