@@ -1,8 +1,8 @@
 """Subjects of documents by topic models.
 
-A latent Dirichlet allocation over words and word pairs finds topics; a topic's top terms, looked up in the documents of
-annotators, name its subject; the topics' term distributions then give each sentence its topic proportions, and a
-document the subjects that two or more of its sentences deal with.
+Latent Dirichlet allocations over words and word pairs find topics; a topic's top terms, looked up in the documents of
+annotators, name its subject or leave it without one. With the topics fixed, each document gets its topic proportions,
+and under these each of its sentences; a document has the subjects whose topics hold two or more of its sentences.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.text import norm_words, plain_text, words
+from mnemoframe.functions.text import norm_words, plain_text
 from mnemoframe.session import cut_lineage
 
 #: Terms of the model: at most VOCABULARY of those in at least LEAST and at most MOST of the documents, and in at most
@@ -24,8 +24,16 @@ from mnemoframe.session import cut_lineage
 VOCABULARY, LEAST, LEAST_DOCS, MOST, MOST_IN_LANGUAGE = 4000, 0.0004, 4, 0.12, 0.25
 #: A pair of words is a term if it makes up at least this part of the documents of its rarer word.
 TOGETHER = 0.3
-TOPICS, ITERATIONS, TOP_TERMS = 36, 25, 40
-MARGIN, SENTENCES, SUBJECTS = 1.8, 2, 2
+#: Topics of a model, fewer where there are less than DOCS_A_TOPIC documents for each; rounds of the fit, and models that
+#: are averaged, as each starts at random.
+TOPICS, DOCS_A_TOPIC, ITERATIONS, MODELS = 100, 20, 30, 2
+#: Documents of a round: this part of them, or so many where that is more.
+PART, LEAST_OF_ROUND = 0.06, 3000
+#: Top terms that name a topic, and how much likelier than by chance their documents must have the subject (a logarithm).
+TOP_TERMS, NAMED = 40, 0.5
+#: Concentration and rounds of the proportions of a document; share of a sentence that its subject's topics must hold.
+CONCENTRATION, ROUNDS, HELD = 0.1, 8, 0.4
+SENTENCES, SUBJECTS = 2, 2
 
 
 def sentences(c: Column) -> Column:
@@ -40,26 +48,24 @@ def _terms(w: Column) -> Column:
 
 
 def _documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, s, terms): the word lists of the sentences, and all terms of the document."""
-    d = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    d = d.select("doc_id", F.transform(sentences(F.col("text")), lambda x: norm_words(x)).alias("s"))
-    return d.withColumn("terms", F.flatten(F.transform("s", lambda x: _terms(x))))
+    """(doc_id, lang, text, s, terms): the word lists of the sentences, and all terms of the document."""
+    lang = F.lower(F.substring(F.coalesce("lang", F.lit("un")), 1, 2))
+    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", lang.alias("lang"), "text")
+    d = d.withColumn("s", F.transform(sentences(F.col("text")), lambda x: norm_words(x)))
+    return d.withColumn("terms", F.array_distinct(F.flatten(F.transform("s", lambda x: _terms(x)))))
 
 
-def _vocabulary(documents: DataFrame, docs: DataFrame) -> list[str]:
-    """Terms of middling frequency, in all and within each language, that are no names.
+def _vocabulary(docs: DataFrame, n: int) -> list[str]:
+    """Terms of middling frequency, in all n documents and within each language, that are no names.
 
     Names are words with a capital in the languages that keep it for names.
     """
-    language = documents.select("doc_id", F.lower(F.substring(F.coalesce("lang", F.lit("un")), 1, 2)).alias("lang")).where("doc_id IS NOT NULL")
-    of = docs.join(language, "doc_id").select("lang", F.array_distinct("terms").alias("terms"))
-    sizes = of.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(100)
-    n = docs.count()
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     inner = F.regexp_extract_all(plain_text(F.col("text")), F.lit(r"(?<=[\p{L}\p{N},;] )[\p{L}\p{N}]+"), F.lit(0))
-    latin = documents.where("text IS NOT NULL AND NOT lower(coalesce(lang, '')) LIKE 'de%'").select(F.explode(inner).alias("w"))
+    latin = docs.where("lang <> 'de'").select(F.explode(inner).alias("w"))
     capital = latin.groupBy(F.lower("w").alias("term")).agg(F.avg(F.col("w").rlike(r"^\p{Lu}|^\p{N}").cast("double")).alias("c"), F.count("*").alias("k"))
-    by_lang = of.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("k"))
-    shares = by_lang.join(F.broadcast(sizes), "lang").where("k >= 2").groupBy("term").agg(F.sum("k").alias("df"), F.max(F.when(F.col("n") >= 0.01 * n, F.col("k") / F.col("n"))).alias("most"))
+    by_lang = docs.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("k"))
+    shares = by_lang.join(sizes, "lang").where("k >= 2").groupBy("term").agg(F.sum("k").alias("df"), F.max(F.when(F.col("n") >= 0.01 * n, F.col("k") / F.col("n"))).alias("most"))
     good = cut_lineage(shares.where((F.col("df") >= max(LEAST_DOCS, LEAST * n)) & (F.col("df") <= MOST * n) & (F.coalesce("most", F.lit(0.0)) <= MOST_IN_LANGUAGE)))
     # Documents with a wrong or no language don't make names of the nouns of another.
     named = capital.join(good.select("term", "df"), "term").where("c > 0.6 AND k >= 3 AND k >= 0.3 * df").select("term")
@@ -72,85 +78,120 @@ def _vocabulary(documents: DataFrame, docs: DataFrame) -> list[str]:
     return [r["term"] for r in single.unionByName(keep).orderBy(F.desc("df"), "term").limit(VOCABULARY).collect()]
 
 
-def term_weights(documents: DataFrame, labels: DataFrame, docs: DataFrame) -> tuple[list[str], list[str], np.ndarray, pd.DataFrame]:
-    """(vocabulary, subjects, weights, topics): weights[term, subject] are log odds of a subject against all else.
+def _numbered(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, s): the numbers of the terms of each sentence that has any, once each."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
-    topics: the subject of each topic with its first terms, for inspection. Vocabulary and topics are of fixed size, so
-    what the driver holds doesn't grow with the corpus.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = shared.value
+        for b in batches:
+            rows = [[sorted({at[t] for t in (*w, *map(" ".join, zip(w, w[1:]))) if t in at}) for w in s] for s in b["s"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [[w for w in r if w] for r in rows]})
+
+    return docs.select("doc_id", "s").mapInPandas(run, "doc_id bigint, s array<array<int>>").where(F.size("s") > 0)
+
+
+def fit_topics(numbered: DataFrame, vocabulary: list[str], n: int) -> list[np.ndarray]:
+    """Term weights (vocabulary x topics) of each model. Their size is fixed, whatever the number of documents."""
+    words = numbered.select(F.transform(F.array_distinct(F.flatten("s")), lambda i: i.cast("string")).alias("terms"))
+    x = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(vocabulary))], inputCol="terms", outputCol="features").setBinary(True).transform(words).select("features").persist()
+    k, part = int(np.clip(n // DOCS_A_TOPIC, 8, TOPICS)), min(1.0, max(PART, LEAST_OF_ROUND / max(1, n)))
+    fits = [LDA(k=k, maxIter=ITERATIONS, optimizer="online", subsamplingRate=part, learningOffset=16.0, learningDecay=0.6, optimizeDocConcentration=False, docConcentration=[0.02], topicConcentration=0.01, seed=11 + i).fit(x) for i in range(MODELS)]
+    x.unpersist()
+    return [m.topicsMatrix().toArray() for m in fits]
+
+
+def name_topics(phi: np.ndarray, lift: np.ndarray) -> np.ndarray:
+    """The subject of each topic, -1 for none: its top terms' lift, weighted by their part in the topic and by how specific they are to it.
+
+    lift (vocabulary x subjects) is how much likelier than by chance a labelled document with the term has the subject.
     """
-    vocabulary = _vocabulary(documents, docs)
-    names = sorted(r["subject"] for r in labels.select("subject").where("subject IS NOT NULL AND subject <> 'none'").distinct().limit(1000).collect())
-    empty = pd.DataFrame({"topic": [], "subject": [], "terms": []})
-    if not vocabulary or not names:
-        return vocabulary, names, np.zeros((len(vocabulary), len(names))), empty
-    vec = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features").setBinary(True)
-    x = cut_lineage(vec.transform(docs).select("doc_id", "features"))
-    n = x.count()
-    rate = min(1.0, max(0.05, 2000 / max(1, n)))
-    model = LDA(k=TOPICS, maxIter=ITERATIONS, optimizer="online", subsamplingRate=rate, learningOffset=16.0, learningDecay=0.6, optimizeDocConcentration=False, docConcentration=[0.02], topicConcentration=0.01, seed=11).fit(x)
-    phi = model.topicsMatrix().toArray()
-    # How the labelled documents that have a term are labelled.
-    index = {t: i for i, t in enumerate(vocabulary)}
-    marked = labels.select("doc_id", "subject").distinct().join(docs, "doc_id").select("subject", F.explode(F.array_distinct("terms")).alias("term"))
-    counts = marked.where(F.col("term").isin(vocabulary)).groupBy("term", "subject").agg(F.count("*").alias("n")).toPandas()
-    sizes = labels.select("doc_id", "subject").distinct().groupBy("subject").agg(F.count("*").alias("n")).toPandas().set_index("subject")["n"]
-    seen = np.zeros((len(vocabulary), len(names) + 1))
-    for t, s, k in counts.itertuples(index=False):
-        seen[index[t], names.index(s) if s in names else len(names)] += k
-    prior = np.array([float(sizes.get(s, 0)) for s in names] + [float(sizes.get("none", 0))]) + 1
-    prior /= prior.sum()
-    share = (seen + 2 * prior) / (seen.sum(1, keepdims=True) + 2)
-    lift = np.log(share / prior)
-    # The subject of a topic: its top terms' lift, weighted by their part in the topic and by how specific they are to it.
-    theta = phi / phi.sum(0)
-    specific = phi / phi.sum(1, keepdims=True)
-    owner = np.full(TOPICS, -1)
-    rows = []
-    for t in range(TOPICS):
+    theta, specific = phi / phi.sum(0), phi / phi.sum(1, keepdims=True)
+    owner = np.full(phi.shape[1], -1)
+    for t in range(phi.shape[1]):
         top = np.argsort(-theta[:, t])[:TOP_TERMS]
-        score = (theta[top, t, None] * specific[top, t, None] * lift[top]).sum(0) / (theta[top, t] * specific[top, t]).sum()
-        if score[:-1].max() > 0.5:
-            owner[t] = score[:-1].argmax()
-        rows.append((t, names[owner[t]] if owner[t] >= 0 else None, ", ".join(vocabulary[i] for i in top[:15])))
-    # Terms by topic and by label, the label's word counting as so many observations.
-    by_topic = np.stack([specific[:, owner == k].sum(1) for k in range(len(names))], axis=1)
-    strength = 1.5
-    p = (seen[:, :-1] + strength * by_topic) / (seen.sum(1, keepdims=True) + strength)
-    p = np.clip(p, 0.005, 0.995)
-    base = prior[:-1]
-    return vocabulary, names, np.log(p / (1 - p)) - np.log(base / (1 - base)), pd.DataFrame(rows, columns=["topic", "subject", "terms"])
-
-
-def document_subjects(documents: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFrame:
+        w = theta[top, t] * specific[top, t]
+        score = (w[:, None] * lift[top]).sum(0) / w.sum()
+        if score.max() > NAMED:
+            owner[t] = score.argmax()
+    return owner
+
+
+def _lift(numbered: DataFrame, labels: DataFrame, names: list[str], size: int) -> np.ndarray:
+    """How the labelled documents that have a term are labelled: log ratio to the share of the subject among all labels."""
+    said = labels.select("doc_id", "subject").where("subject IS NOT NULL").distinct()
+    marked = said.join(numbered, "doc_id").select("subject", F.explode(F.array_distinct(F.flatten("s"))).alias("term"))
+    seen, total = np.zeros((size, len(names) + 1)), np.ones(len(names) + 1)
+    place = {s: i for i, s in enumerate(names)}
+    # At most vocabulary x subjects counts.
+    for r in marked.groupBy("term", "subject").agg(F.count("*").alias("n")).collect():
+        seen[r["term"], place.get(r["subject"], len(names))] += r["n"]
+    for r in said.groupBy("subject").agg(F.count("*").alias("n")).collect():
+        total[place.get(r["subject"], len(names))] += r["n"]
+    prior = total / total.sum()
+    return np.log((seen + 2 * prior) / (seen.sum(1, keepdims=True) + 2) / prior)[:, :-1]
+
+
+def topic_proportions(docs: list[list[list[int]]], phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of documents, of sentences): topic proportions with the topics' term probabilities phi (vocabulary x topics) fixed.
+
+    The proportions of a document are those under which its terms are likeliest, by a few rounds of expectation and
+    maximisation; those of a sentence are the topics' probabilities given its terms and the document's proportions.
+    """
+    k = phi.shape[1]
+    words = [w for d in docs for w in d]
+    terms = np.concatenate([np.asarray(w) for w in words])
+    of_sentence = np.cumsum([0] + [len(w) for w in words])[:-1]
+    of_doc = np.cumsum([0] + [sum(map(len, d)) for d in docs])
+    p, doc = phi[terms], np.repeat(np.arange(len(docs)), np.diff(of_doc))
+    theta = np.full((len(docs), k), 1.0 / k, dtype=np.float32)
+    for _ in range(ROUNDS):
+        r = theta[doc] * p
+        r /= r.sum(1, keepdims=True)
+        theta = CONCENTRATION / k + np.add.reduceat(r, of_doc[:-1], axis=0)
+        theta /= theta.sum(1, keepdims=True)
+    log = np.add.reduceat(np.log(p), of_sentence, axis=0) + np.log(theta)[np.repeat(np.arange(len(docs)), [len(d) for d in docs])]
+    log -= log.max(1, keepdims=True)
+    e = np.exp(log)
+    return theta, e / e.sum(1, keepdims=True)
+
+
+def document_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, subject, n_sentences): the subjects, two at most, that two or more sentences of a document deal with.
 
-    Documents without text or about none of the subjects have no row. Without labels there is no row at all.
+    Documents without text or about none of the subjects have no row. Labels name topics and do nothing else; without
+    any there is no row at all. Subjects are a table of settings, whose names the driver reads.
     """
-    docs = cut_lineage(_documents(documents))
-    vocabulary, names, weights, _ = term_weights(documents, labels, docs)
-    shared = documents.sparkSession.sparkContext.broadcast(({t: weights[i] for i, t in enumerate(vocabulary) if np.abs(weights[i]).max() > 0.5}, names))
+    schema = "doc_id bigint, subject string, n_sentences int"
+    docs = _documents(documents)
+    n = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").count()
+    names = sorted(r["subject"] for r in labels.select("subject").where("subject IS NOT NULL AND subject <> 'none'").distinct().collect())
+    vocabulary = _vocabulary(docs, n) if n and names else []
+    if not vocabulary:
+        return documents.sparkSession.createDataFrame([], schema)
+    # Few bytes and much work: spread over the cores, whatever the number of files.
+    parts = 2 * documents.sparkSession.sparkContext.defaultParallelism
+    numbered = cut_lineage(_numbered(docs, vocabulary).repartition(parts, "doc_id"))
+    lift = _lift(numbered, labels, names, len(vocabulary))
+    models = []
+    for phi in fit_topics(numbered, vocabulary, n):
+        owner = name_topics(phi, lift)
+        models.append((np.maximum(phi / phi.sum(0), 1e-9).astype(np.float32), np.eye(len(names) + 1, dtype=np.float32)[owner][:, :-1]))
+    shared = documents.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, subjects = shared.value
-        for b in batches:
-            out = []
-            for doc, s in zip(b["doc_id"], b["s"]):
-                votes = np.zeros(len(subjects), dtype=int)
-                scores = []
-                for w in s:
-                    found = [table[t] for t in (*w, *map(" ".join, zip(w, w[1:]))) if t in table]
-                    if found:
-                        score = np.maximum(np.max(found, axis=0), 0) + np.minimum(np.min(found, axis=0), 0) * 0.2
-                        if score.max() >= margin:
-                            scores.append(score)
-                if scores:
-                    # The document's own proportions decide between the subjects of an ambiguous term.
-                    scores = np.array(scores)
-                    odds = np.exp(scores - scores.max(1, keepdims=True))
-                    theta = (odds / odds.sum(1, keepdims=True)).sum(0) + 0.2
-                    votes = np.bincount((scores + np.log(theta / theta.sum())).argmax(1), minlength=len(subjects))
-                order = sorted(np.flatnonzero(votes >= SENTENCES), key=lambda k: (-votes[k], subjects[k]))
-                out += [(doc, subjects[k], int(votes[k])) for k in order[:SUBJECTS]]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "n_sentences"])
-
-    return docs.select("doc_id", "s").mapInPandas(run, "doc_id bigint, subject string, n_sentences int")
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                b = batch.iloc[i : i + 512]
+                held = sum(topic_proportions(b["s"].tolist(), phi)[1] @ of for phi, of in shared.value) / len(shared.value)
+                at = np.repeat(np.arange(len(b)), b["s"].str.len())
+                deals = held.max(1) >= HELD
+                votes = np.zeros((len(b), len(names)), dtype=int)
+                np.add.at(votes, (at[deals], held[deals].argmax(1)), 1)
+                out = []
+                for doc, v in zip(b["doc_id"], votes):
+                    order = sorted(np.flatnonzero(v >= SENTENCES), key=lambda k: (-v[k], names[k]))
+                    out += [(doc, names[k], int(v[k])) for k in order[:SUBJECTS]]
+                yield pd.DataFrame(out, columns=["doc_id", "subject", "n_sentences"])
+
+    return numbered.mapInPandas(run, schema)
