@@ -78,6 +78,9 @@ def related_groups(samples: DataFrame) -> DataFrame:
     differ, the values of all copies link it. A NULL dataset is a dataset of its own.
     """
     s = samples.select("sample_id", "dataset", "author", "source_ref", "entity").where("sample_id IS NOT NULL").distinct()
+    # Numbers for nodes: minima and joins of them are cheap. The written table keeps them as they are.
+    ids = cut_lineage(s.select("sample_id").distinct().withColumn("id", F.monotonically_increasing_id()))
+    s = s.join(ids, "sample_id")
     key = lambda kind, v: F.concat(F.lit(kind + "\u0001"), v)
     keys = F.array(
         key("c", F.concat_ws("\u0001", F.coalesce("dataset", F.lit("\u0002")), conversation(F.col("sample_id")))),
@@ -85,14 +88,15 @@ def related_groups(samples: DataFrame) -> DataFrame:
         key("s", entity_value(F.col("source_ref"))),
         key("e", entity_value(F.col("entity"))),
     )
-    member = s.select(F.explode(F.array_compact(keys)).alias("key"), "sample_id").withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(SALTS)).cast("int"))
+    member = s.select(F.explode(F.array_compact(keys)).alias("key"), "id").select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("key"), "key").alias("k2"), "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("part"))
     # Two-level stars: to the least sample of the part, and from there to the least of all parts of the key.
-    near = member.withColumn("m", F.min("sample_id").over(Window.partitionBy("key", "part")))
-    far = member.groupBy("key", "part").agg(F.min("sample_id").alias("u")).withColumn("v", F.min("u").over(Window.partitionBy("key")))
-    edges = near.select(F.col("sample_id").alias("u"), F.col("m").alias("v")).unionByName(far.select("u", "v"))
+    near = member.withColumn("m", F.min("id").over(Window.partitionBy("k1", "k2", "part")))
+    far = member.groupBy("k1", "k2", "part").agg(F.min("id").alias("u")).withColumn("v", F.min("u").over(Window.partitionBy("k1", "k2")))
+    edges = near.select(F.col("id").alias("u"), F.col("m").alias("v")).unionByName(far.select("u", "v"))
     roots = connected_components(edges)
-    ids = s.select("sample_id").distinct()
-    return ids.join(roots, F.col("sample_id") == F.col("u"), "left").select("sample_id", F.coalesce("v", "sample_id").alias("group_id"))
+    placed = ids.join(roots, F.col("id") == F.col("u"), "left").select("sample_id", F.coalesce("v", "id").alias("root"))
+    least = placed.groupBy("root").agg(F.min("sample_id").alias("group_id"))
+    return placed.join(least, "root").select("sample_id", "group_id")
 
 
 def assign_splits(samples: DataFrame, proportions: dict[str, float] | None = None) -> DataFrame:
