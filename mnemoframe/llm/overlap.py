@@ -21,6 +21,8 @@ COMMON = 0.01
 #: Words in less than this share of the questions all weigh the same, so that the cosine of a pair doesn't fall as others
 #: are added and its own rare words grow rarer.
 RAREST = 1 / 5000
+#: An entry of the inverted lists (term and gold) with more classes of one side than this is spread over that side's parts.
+HOT = 2000
 #: A word of so many questions is an established one, and no slip of another.
 ESTABLISHED = 3
 
@@ -94,12 +96,26 @@ def _same_question(a: str, b: str) -> Column:
     return (F.least(changed(xa, xb), changed(xb, xa)) == 0) & (F.greatest(changed(xa, xb), changed(xb, xa)) <= 1) & (shared * 2 >= F.least(F.size(a), F.size(b)))
 
 
-def overlapping_pairs(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(sample_id_a, sample_id_b, train_id, eval_id, split, dataset): a train sample and a validation or test sample alike.
+def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a (term, key, ca, ...) and b (term, key, cb, ...) joined on (term, key).
 
-    sample_id_a is the smaller id. split and dataset are those of the evaluation sample. Questions without words, golds
-    without letters or digits, NULL ids and other splits give no pair. Samples whose question and gold agree but for case,
-    punctuation, white space, markup and forms of characters are one class, and classes are joined.
+    An entry that many classes of one side share, such as a frequent gold, is cut into parts by the class's hash, and met
+    by every class of the other side in each part, so that no task holds a whole one.
+    """
+    sizes = a.groupBy("term", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    parts = sizes.select("term", "key", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    one = lambda d: d.join(parts, ["term", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = one(a).withColumn("part", F.pmod(F.xxhash64("ca"), F.col("parts")).cast("int")).drop("parts")
+    y = one(b).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return x.join(y, ["term", "key", "part"])
+
+
+def overlapping_classes(samples: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(links (ca, cb), members (class, sample_id, train, split, dataset)) of classes alike, train on the left.
+
+    Samples whose question and gold agree but for case, punctuation, white space, markup and forms of characters are one
+    class, and classes are joined; a class with both kinds of samples is linked to itself. Questions without words, golds
+    without letters or digits, NULL ids and other splits belong to no class.
     """
     s = samples.select("sample_id", "dataset", F.lower(F.trim("split")).alias("split"), "question", "gold").where("sample_id IS NOT NULL").distinct()
     s = s.select("sample_id", "dataset", (F.col("split") == "train").alias("train"), "split", "question", "gold", question_words(F.col("question")).alias("words"), gold_key(F.col("gold")).alias("key"))
@@ -113,7 +129,7 @@ def overlapping_pairs(samples: DataFrame, threshold: float = THRESHOLD) -> DataF
     a = listed.where("has_train").select("term", "key", F.col("class").alias("ca"), F.col("w").alias("wa"), F.col("after").alias("ra"), F.col("n").alias("na"))
     b = listed.where("NOT all_train").select("term", "key", F.col("class").alias("cb"), F.col("w").alias("wb"), F.col("after").alias("rb"), F.col("n").alias("nb"))
     sums = [F.sum(F.col("wa") * F.col("wb")).alias("dot"), *[F.min(c).alias(c) for c in ("ra", "rb", "na", "nb", "wa", "wb")]]
-    met = a.join(b, ["term", "key"]).where("ca <> cb").groupBy("ca", "cb").agg(*sums)
+    met = _candidates(a, b).where("ca <> cb").groupBy("ca", "cb").agg(*sums)
     # All terms come in one order, so what both have before the last term they met at is in dot. What follows adds no
     # more than the product of the norms of the rests, nor than their greatest weights times their number of terms.
     bound = F.col("dot") + F.least(F.col("ra") * F.col("rb"), F.least("na", "nb") * F.col("wa") * F.col("wb"))
@@ -123,7 +139,16 @@ def overlapping_pairs(samples: DataFrame, threshold: float = THRESHOLD) -> DataF
     dot = F.aggregate("va", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.get(F.filter("vb", lambda y: y["term"] == x["term"]), F.lit(0))["w"], F.lit(0.0)))
     near = full.where((dot >= threshold) & _same_question("va", "vb")).select("ca", "cb")
     both = classes.where("has_train AND NOT all_train").select(F.col("class").alias("ca"), F.col("class").alias("cb"))
-    links = near.unionByName(both)
+    return near.unionByName(both), s.select("class", "sample_id", "train", "split", "dataset").distinct()
+
+
+def overlapping_pairs(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(sample_id_a, sample_id_b, train_id, eval_id, split, dataset): a train sample and a validation or test sample alike.
+
+    sample_id_a is the smaller id. split and dataset are those of the evaluation sample. The links of overlapping_classes,
+    with their members: as many rows as there are such pairs.
+    """
+    links, s = overlapping_classes(samples, threshold)
     t = s.where("train").select(F.col("class").alias("ca"), F.col("sample_id").alias("train_id")).distinct()
     e = s.where("NOT train").select(F.col("class").alias("cb"), F.col("sample_id").alias("eval_id"), "split", "dataset").distinct()
     out = links.join(t, "ca").join(e, "cb").where("train_id <> eval_id")
@@ -131,6 +156,17 @@ def overlapping_pairs(samples: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 
 def overlap_counts(samples: DataFrame) -> DataFrame:
-    """(split, dataset, n_pairs, n_eval, n_train) of the overlapping pairs, per split and dataset of the evaluation sample."""
-    p = overlapping_pairs(samples)
-    return p.groupBy("split", "dataset").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"))
+    """(split, dataset, n_pairs, n_eval, n_train) of the overlapping pairs, per split and dataset of the evaluation sample.
+
+    Counted on classes and their sizes: no pair of samples is written out.
+    """
+    links, s = overlapping_classes(samples)
+    links = cut_lineage(links.distinct())
+    train = s.where("train").groupBy(F.col("class").alias("ca")).agg(F.countDistinct("sample_id").alias("nt"))
+    held = s.where("NOT train").groupBy(F.col("class").alias("cb"), "split", "dataset").agg(F.countDistinct("sample_id").alias("ne"))
+    j = links.join(train, "ca").join(held, "cb")
+    none = F.lit(0).cast("bigint")
+    rows = j.select("split", "dataset", (F.col("nt") * F.col("ne")).alias("n_pairs"), none.alias("n_eval"), none.alias("n_train"))
+    rows = rows.unionByName(j.select("cb", "split", "dataset", none.alias("n_pairs"), F.col("ne").alias("n_eval"), none.alias("n_train")).distinct().drop("cb"))
+    rows = rows.unionByName(j.select("ca", "split", "dataset", none.alias("n_pairs"), none.alias("n_eval"), F.col("nt").alias("n_train")).distinct().drop("ca"))
+    return rows.groupBy("split", "dataset").agg(*[F.sum(c).alias(c) for c in ("n_pairs", "n_eval", "n_train")])
