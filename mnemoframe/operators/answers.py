@@ -50,7 +50,8 @@ def fail_closed(answered: Column, verified: Column, op: Column) -> tuple[Column,
 def states_phrase(text: Column, phrase: Column) -> Column:
     """Whether text has the phrase with no letter or digit right before or after it: '90 usd' isn't in '290 usd'."""
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(phrase), F.lit(r"\E(?![\p{L}\p{N}])"))
-    return F.rlike(F.lower(text), quoted)
+    # Few texts have the phrase at all: the pattern, a new one a row, is for those.
+    return F.lower(text).contains(F.lower(phrase)) & F.rlike(F.lower(text), quoted)
 
 
 def copular_value(text: Column) -> Column:

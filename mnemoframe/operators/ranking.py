@@ -108,6 +108,11 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def asked_postings(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of docs (doc_id, w) for the terms of the queries alone: the others go before the shuffle."""
+    return docs.select("doc_id", F.explode("w").alias("term")).join(queries.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
 def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): top k documents of postings (term, doc_id, tf), lengths (doc_id, dl), queries (query_id, term).
 

@@ -395,9 +395,20 @@ def mmr_order(spark, d):
 def bm25_topk(spark, d):
     """Evaluation passages as queries over all documents."""
     w = load(spark, d, "documents").select("doc_id", norm_words(F.col("text")).alias("w"))
-    postings = w.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     asked = load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(norm_words(F.col("text")))).alias("term"))
-    return ranking.bm25(postings, w.select("doc_id", F.size("w").alias("dl")).where("dl > 0"), asked, 5)
+    return ranking.bm25(ranking.asked_postings(w, asked), w.select("doc_id", F.size("w").alias("dl")).where("dl > 0"), asked, 5)
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, len(w) AS dl FROM w WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM eval_items), p AS (SELECT doc_id, unnest(w) AS term FROM w), t AS (SELECT term, doc_id, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+s AS (SELECT term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM t JOIN df USING (term) JOIN l USING (doc_id), st), g AS (SELECT query_id, doc_id, round(sum(s::DOUBLE), 6) AS score FROM s JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+def bm25_words(spark, d):
+    """As bm25_topk, over runs of ASCII letters and digits."""
+    token = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    w = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", token("text").alias("w"))
+    asked = load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(token("text"))).alias("term"))
+    return ranking.bm25(ranking.asked_postings(w, asked), w.select("doc_id", F.size("w").alias("dl")).where("dl > 0"), asked, 5)
 
 
 @query("""WITH t AS (SELECT event_type AS cur, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), g AS (SELECT cur, nxt, count(*) AS n FROM t WHERE nxt IS NOT NULL GROUP BY ALL)

@@ -78,7 +78,7 @@ def memory_type_counts(spark, d):
 
 _CITES = """WITH c AS (SELECT DISTINCT sample_id, gold, unnest(session_ids) AS session_id FROM samples WHERE gold IS NOT NULL AND trim(gold) <> ''),
 h AS (SELECT session_id, sha256(array_to_string(list_sort(list_distinct(list(sha256(content)))), chr(10))) AS content_hash FROM turns WHERE content IS NOT NULL GROUP BY 1),
-g AS (SELECT DISTINCT sample_id, c.session_id FROM c JOIN turns t ON t.session_id = c.session_id AND regexp_matches(lower(content), '(^|[^\\p{L}\\p{N}])\\Q' || lower(gold) || '\\E($|[^\\p{L}\\p{N}])')),
+g AS (SELECT DISTINCT sample_id, c.session_id FROM c JOIN turns t ON t.session_id = c.session_id AND contains(lower(content), lower(gold)) AND regexp_matches(lower(content), '(^|[^\\p{L}\\p{N}])\\Q' || lower(gold) || '\\E($|[^\\p{L}\\p{N}])')),
 e AS (SELECT DISTINCT c.sample_id, c.session_id, content_hash, g.session_id IS NOT NULL AS grounded FROM c LEFT JOIN h USING (session_id) LEFT JOIN g ON g.sample_id = c.sample_id AND g.session_id = c.session_id)"""
 
 
