@@ -25,14 +25,14 @@ VOCABULARY, LEAST, LEAST_DOCS, MOST, MOST_IN_LANGUAGE = 4000, 0.0004, 4, 0.12, 0
 #: A pair of words is a term if it makes up at least this part of the documents of its rarer word.
 TOGETHER = 0.3
 #: Topics of a model, fewer where there are less than DOCS_A_TOPIC documents for each; rounds of the fit, and models that
-#: are averaged, as each starts at random.
-TOPICS, DOCS_A_TOPIC, ITERATIONS, MODELS = 100, 20, 30, 2
+#: are averaged: each starts at random, and costs a fit of its own.
+TOPICS, DOCS_A_TOPIC, ITERATIONS, MODELS = 100, 20, 40, 1
 #: Documents of a round: this part of them, or so many where that is more.
-PART, LEAST_OF_ROUND = 0.06, 3000
+PART, LEAST_OF_ROUND = 0.05, 3000
 #: Top terms that name a topic, and how much likelier than by chance their documents must have the subject (a logarithm).
 TOP_TERMS, NAMED = 40, 0.5
 #: Concentration and rounds of the proportions of a document; share of a sentence that its subject's topics must hold.
-CONCENTRATION, ROUNDS, HELD = 0.1, 8, 0.4
+CONCENTRATION, ROUNDS, HELD = 0.1, 8, 0.5
 SENTENCES, SUBJECTS = 2, 2
 
 
