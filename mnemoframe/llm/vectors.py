@@ -1,10 +1,11 @@
 """Most similar vectors by additive quantisation.
 
 A vector is the sum of one word of each of several full-dimensional codebooks, the later ones fitted on the residuals of
-the earlier. Beam search encodes; the words of the first codebook are the cells of the index. A query visits every cell
-whose distance is within a margin of its nearest one's, scores the members by lookup tables over the codes and the stored
-norms, and ranks those within a slack of the best by exact dot products. Margin and slack aren't chosen: they are what
-the true neighbours of a bounded set of queries, found among all rows, need for the wanted recall.
+the earlier. Beam search encodes; the words of the first codebook are the cells of the index. A vector is placed in every
+cell whose distance is within a margin of its nearest one's, so that two vectors meet wherever they have a cell in common,
+scores the others there by lookup tables over the codes and the stored norms, and ranks those within a slack of the best
+by dot products of the vectors, which travel in 20 bits a component. Margin and slack aren't chosen: they are what the
+true neighbours of a bounded set of queries, found among all rows, need for the wanted recall.
 
 Where the margin lets a query visit a large part of a model's rows the index doesn't pay, and the model is searched
 exactly instead: its vectors are cut into blocks by hash, and every block meets every block.
@@ -23,14 +24,17 @@ from mnemoframe.session import cut_lineage
 
 #: Codebooks are fitted on at most about SAMPLE vectors of a model and calibrated by the neighbours of about ASKED vectors,
 #: both chosen by hash. Every vector is indexed.
-SAMPLE, ASKED = 20_000, 500
+SAMPLE, ASKED = 20_000, 2000
 #: Further codebooks and their words, and partial sums kept while encoding.
 BOOKS, WORDS, BEAM = 3, 64, 4
-#: Mean rows of a cell, most cells of a model, and most members or queries of a cell that meet in one task.
-CELL, MAX_CELLS, BLOCK = 400, 4096, 8192
-#: Parts of the true neighbours that the margin and the slack must let through.
-VISITED, SHORTLISTED = 0.99, 0.998
-#: Part of a model's rows from which on visiting them costs more than the exact search of all.
+#: Rows of a model from which on it is indexed.
+INDEXED = 3200
+#: Mean rows whose nearest cell it is, most cells of a model, and most rows of either part of a cell that meet in one task.
+CELL, MAX_CELLS, BLOCK = 200, 4096, 8192
+#: Part of the pairs of true neighbours that the margin must let meet, and the slack as a multiple of the greatest distance
+#: of the table scores' errors from their median.
+MET, SLACK = 0.999, 1.25
+#: Part of a model's rows from which on meeting them costs more than the exact search of all.
 PAYS = 0.1
 #: Size of a block's vectors in the exact search.
 BLOCK_BYTES = 8 << 20
@@ -157,19 +161,17 @@ def table_scores(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: lis
 
 
 def _calibrate(books: list[np.ndarray], q: np.ndarray, x: np.ndarray, sample: np.ndarray) -> tuple[float, float, float, float]:
-    """(margin, low, high, share) from pairs of queries q and true neighbours x: cells to visit, errors of the table scores,
-    and the part of the sample's rows that a query visits."""
+    """(margin, low, high, share) from pairs of queries q and true neighbours x: cells to be placed in, errors of the table
+    scores, and the part of the sample's rows that a row meets, once for each cell in common."""
     cells = lambda v: np.concatenate([_distances(v[i : i + 2048], books[0]) for i in range(0, len(v), 2048)])
-    dq, dx = cells(q), cells(x)
-    rows = np.arange(len(q))
-    # A pair is found from either side.
-    gap = np.minimum(dq[rows, dx.argmin(1)] - dq.min(1), dx[rows, dq.argmin(1)] - dx.min(1))
-    margin = float(np.quantile(gap, VISITED)) + 1e-6
+    # A pair meets in the cell that is least far from being the nearest of both.
+    over = lambda v: (d := cells(v)) - d.min(1, keepdims=True)
+    margin = float(np.quantile(np.concatenate([np.maximum(over(q[i : i + 2048]), over(x[i : i + 2048])).min(1) for i in range(0, len(q), 2048)]), MET)) + 1e-6
     codes, norms = encode(x, books)
     error = (q * x).sum(1) - np.concatenate([table_scores(q[i : i + 1], codes[i : i + 1], norms[i : i + 1], books)[0] for i in range(len(q))])
-    size = np.bincount(cells(sample).argmin(1), minlength=len(books[0])) / len(sample)
-    d = cells(q)
-    return margin, float(np.quantile(-error, SHORTLISTED)) + 1e-6, float(np.quantile(error, SHORTLISTED)) + 1e-6, float(((d <= d.min(1, keepdims=True) + margin) @ size).mean())
+    reach = lambda e: float(np.median(e) + SLACK * (e.max() - np.median(e))) + 1e-6
+    placed = over(sample) <= margin
+    return margin, reach(-error), reach(error), float((placed @ placed.mean(0)).mean())
 
 
 def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
@@ -179,7 +181,7 @@ def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
     """
     spark = df.sparkSession
     good = usable(df)
-    n = {r["model"]: r["n"] for r in good.groupBy("model").agg(F.count("*").alias("n")).collect() if r["n"] >= 8 * CELL}
+    n = {r["model"]: r["n"] for r in good.groupBy("model").agg(F.count("*").alias("n")).collect() if r["n"] >= INDEXED}
     if not n:
         return {}
     part = lambda most: F.create_map(*[v for m, c in n.items() for v in (F.lit(m), F.lit(most / c))])[F.col("model")] * (1 << 30)
@@ -196,7 +198,7 @@ def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
     books: dict[str, list[np.ndarray]] = {}
     for r in fitted:
         books.setdefault(r["model"], []).append(np.frombuffer(r["words"], dtype=np.float32).reshape(-1, r["dim"]))
-    seen = {m: np.unique(_unit(g["vec"]), axis=0) for m, g in drawn.where(chosen < part(8 * ASKED)).toPandas().groupby("model") if m in books}
+    seen = {m: np.unique(_unit(g["vec"]), axis=0) for m, g in drawn.where(chosen < part(2 * ASKED)).toPandas().groupby("model") if m in books}
     asked = spark.sparkContext.broadcast({m: x[:: max(1, len(x) // ASKED)] for m, x in seen.items()})
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,15 +206,13 @@ def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
             for m, g in b.groupby("model"):
                 if m in asked.value:
                     x = np.unique(_unit(g["vec"]), axis=0)
-                    s = asked.value[m] @ x.T
-                    s[s > 1 - 1e-6] = -3  # the query itself and its copies
-                    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    q, j = np.nonzero(np.take_along_axis(s, near, 1) >= max(least, -2))
-                    at = near[q, j]
-                    yield pd.DataFrame({"model": m, "q": q, "cos": s[q, at].astype(np.float64), "v": [x[i].tobytes() for i in at]})
+                    q, at, cos = best_of(asked.value[m], np.arange(len(asked.value[m])), x, np.arange(len(x)), max(least, -2), k + 1)
+                    other = cos < 1 - 1e-6  # neither the query itself nor its copies
+                    yield pd.DataFrame({"model": m, "q": q[other], "cos": cos[other], "v": [x[i].tobytes() for i in at[other]]})
 
     w = Window.partitionBy("model", "q").orderBy(F.desc("cos"))
-    true = good.mapInPandas(neighbours, "model string, q int, cos double, v binary").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toPandas()
+    # Copies of a neighbour in several batches count once.
+    true = good.mapInPandas(neighbours, "model string, q int, cos double, v binary").dropDuplicates(["model", "q", "v"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toPandas()
     index = {}
     for m, g in true.groupby("model"):
         q, x = asked.value[m][g["q"]], np.frombuffer(b"".join(g["v"]), dtype=np.float32).reshape(len(g), -1)
@@ -222,91 +222,131 @@ def build_index(df: DataFrame, least: float, k: int) -> dict[str, tuple]:
     return index
 
 
-def _visits(x: np.ndarray, books: list[np.ndarray], margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, visited): the cell of each vector, and which cells it visits, its own among them."""
-    d = _distances(x, books[0])
-    return d.argmin(1), d <= d.min(1, keepdims=True) + margin
+def _placed(x: np.ndarray, books: list[np.ndarray], margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the cells that each vector is placed in, in their order."""
+    out = []
+    for i in range(0, len(x), 2048):
+        d = _distances(x[i : i + 2048], books[0])
+        at, cell = np.nonzero(d <= d.min(1, keepdims=True) + margin)
+        out.append((at + i, cell))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def pack_unit(x: np.ndarray) -> np.ndarray:
+    """Each row's direction in 20 bits a component: 16 bits of each, then the other four in pairs."""
+    z = np.rint(x / np.abs(x).max(1, keepdims=True) * (2**19 - 1)).astype(np.int32)
+    low = np.zeros((len(z), z.shape[1] + z.shape[1] % 2), dtype=np.uint8)
+    low[:, : z.shape[1]] = z & 15
+    return np.concatenate([(z >> 4).astype("<i2").view(np.uint8), low[:, ::2] | low[:, 1::2] << 4], axis=1)
+
+
+def unpack_unit(packed: np.ndarray, dim: int) -> np.ndarray:
+    low = packed[:, 2 * dim :]
+    z = np.ascontiguousarray(packed[:, : 2 * dim]).view("<i2") * 16.0 + np.stack([low & 15, low >> 4], axis=2).reshape(len(low), -1)[:, :dim]
+    return (z / np.linalg.norm(z, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _blocks_of_cells(good: DataFrame, shared) -> dict[tuple[str, int], tuple[int, int]]:
-    """(model, cell): numbers of blocks of members and of visitors, of BLOCK rows or so. At most MAX_CELLS a model."""
+def _parts_of_cells(good: DataFrame, shared) -> dict[tuple[str, int], int]:
+    """(model, cell): number of parts of BLOCK rows or so. At most MAX_CELLS a model."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for m, b in batch.groupby("model"):
                 books, margin, *_ = shared.value[m]
-                x = _unit(b["vec"])
-                for i in range(0, len(x), 2048):
-                    cell, visited = _visits(x[i : i + 2048], books, margin)
-                    yield pd.DataFrame({"model": m, "cell": range(len(books[0])), "x": np.bincount(cell, minlength=len(books[0])), "q": visited.sum(0)})
+                n = np.bincount(_placed(_unit(b["vec"]), books, margin)[1], minlength=len(books[0]))
+                yield pd.DataFrame({"model": m, "cell": range(len(n)), "n": n})
 
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK)).alias(c)
-    rows = good.mapInPandas(count, "model string, cell bigint, x bigint, q bigint").groupBy("model", "cell").agg(blocks("x"), blocks("q")).collect()
-    return {(r["model"], r["cell"]): (r["x"], r["q"]) for r in rows}
+    rows = good.mapInPandas(count, "model string, cell bigint, n bigint").groupBy("model", "cell").agg(F.sum("n").alias("n")).collect()
+    return {(r["model"], r["cell"]): max(1, -(-r["n"] // BLOCK)) for r in rows}
 
 
 def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -> DataFrame:
-    """(model, a, b, cos) for the models of the index: a's and b's best partners within each cell visited, both ways.
+    """(model, a, b, cos) for the models of the index: a's and b's best partners among those with a cell in common, both ways.
 
-    Members and visitors of a cell meet in blocks of about BLOCK rows, cut by hash, however many there are. A vector
-    travels once as a member, and once to each cell that it visits besides its own.
+    The rows of a cell meet in parts of about BLOCK rows, cut by hash, however many there are. A pair comes out of the
+    first cell in common only. Rows travel as arrays, one for each batch and cell.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(index)
     mine = df.where(F.col("model").isin(list(index)))
-    parts = spark.sparkContext.broadcast(_blocks_of_cells(usable(mine), shared))
+    parts = spark.sparkContext.broadcast(_parts_of_cells(usable(mine), shared))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for m, b in batch.groupby("model"):
                 books, margin, *_ = shared.value[m]
-                xs, qs = (np.array([parts.value.get((m, c), (1, 1))[i] for c in range(len(books[0]))]) for i in (0, 1))
-                x = _unit(b["vec"])
-                for i in range(0, len(x), 2048):
-                    y, ids = x[i : i + 2048], b["vec_id"].to_numpy()[i : i + 2048]
-                    cell, visited = _visits(y, books, margin)
-                    codes, norms = encode(y, books)
-                    where = ids * 2654435761 % (1 << 31)
-                    for ask in (False, True):
-                        if ask:
-                            # Members of a cell of one block meet there as they are.
-                            visited[np.arange(len(y))[xs[cell] * qs[cell] == 1], cell[xs[cell] * qs[cell] == 1]] = False
-                        at, c = np.nonzero(visited) if ask else (np.arange(len(y)), cell)
-                        own, n = (where[at] % qs[c], xs[c]) if ask else (where[at] % xs[c], qs[c])
-                        at, c, own, other = np.repeat(at, n), np.repeat(c, n), np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        small = codes.astype(np.int16)
-                        yield pd.DataFrame({"model": m, "cell": c, "xb": other if ask else own, "qb": own if ask else other, "ask": ask, "vec_id": ids[at], "norm": norms[at], "codes": [b"" if ask else small[j].tobytes() for j in at], "v": [y[j].tobytes() for j in at]})
+                x, ids = _unit(b["vec"]), b["vec_id"].to_numpy(np.int64)
+                codes = np.concatenate([encode(x[i : i + 2048], books)[0] for i in range(0, len(x), 2048)])
+                at, cell = _placed(x, books, margin)
+                cells, first = cell.astype(np.int16), np.searchsorted(at, np.arange(len(x) + 1))
+                counts = np.diff(first).astype(np.int16)
+                rows = np.concatenate([ids[:, None].view(np.uint8), codes.astype(np.int16).view(np.uint8), pack_unit(x)], axis=1)
+                n = np.array([parts.value.get((m, c), 1) for c in range(len(books[0]))])[cell]
+                own = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[at] % n
+                at, cell, own, other = np.repeat(at, n), np.repeat(cell, n), np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                order = np.lexsort((own, high, low, cell))
+                at, key = at[order], np.stack([cell, low, high, own], axis=1)[order]
+                ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+                keys = key[ends[:-1]].T
+                groups = [at[s:e] for s, e in zip(ends, ends[1:])]
+                yield pd.DataFrame({
+                    "model": m, "cell": keys[0], "low": keys[1], "high": keys[2], "own": keys[3],
+                    "rows": [rows[r].tobytes() for r in groups],
+                    "n": [counts[r].tobytes() for r in groups],
+                    "cells": [b"".join(cells[first[i] : first[i + 1]].tobytes() for i in r) for r in groups],
+                })
+
+    def read(g: pd.DataFrame, books: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        n = np.frombuffer(b"".join(g["n"]), dtype=np.int16).astype(np.int64)
+        rows = np.frombuffer(b"".join(g["rows"]), dtype=np.uint8).reshape(len(n), -1)
+        field = lambda a, b, t: np.ascontiguousarray(rows[:, a:b]).view(t)
+        end = 8 + 2 * len(books)
+        codes = field(8, end, np.int16)
+        norms = np.linalg.norm(sum(words[codes[:, b]] for b, words in enumerate(books)), axis=1)
+        cells = np.full((len(n), n.max()), -1, dtype=np.int16)
+        cells[np.arange(n.max()) < n[:, None]] = np.frombuffer(b"".join(g["cells"]), dtype=np.int16)
+        return field(0, 8, np.int64)[:, 0], norms, codes, unpack_unit(rows[:, end:], books[0].shape[1]), cells
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
-        m, cell = g["model"].iloc[0], g["cell"].iloc[0]
-        items, asks = g[~g["ask"]], g[g["ask"]] if parts.value.get((m, cell), (1, 1)) != (1, 1) else g
-        out = [pd.DataFrame({"model": [], "a": [], "b": [], "cos": []})]
-        if len(items) and len(asks):
-            books, _, low, high = shared.value[m]
-            read = lambda c, t: np.frombuffer(b"".join(c), dtype=t).reshape(len(c), -1)
-            x, codes, norms, ids = read(items["v"], np.float32), read(items["codes"], np.int16), items["norm"].to_numpy(np.float32), items["vec_id"].to_numpy()
-            for i in range(0, len(asks), QUERIES):
-                q, qid = read(asks["v"].iloc[i : i + QUERIES], np.float32), asks["vec_id"].to_numpy()[i : i + QUERIES]
+        m, cell, low_part, high_part = (g[c].iloc[0] for c in ("model", "cell", "low", "high"))
+        out = [pd.DataFrame({"a": [], "b": [], "cos": [], "here": []})]
+        books, _, low, high = shared.value[m]
+        sides = [read(s, books) for p in sorted({low_part, high_part}) if len(s := g[g["own"] == p])]
+        pairs = [(0, 0)] if low_part == high_part else [(0, 1), (1, 0)] if len(sides) == 2 else []
+        for l, r in pairs:
+            (qids, _, _, qs, qcells), (ids, norms, codes, x, xcells) = sides[l], sides[r]
+            for i in range(0, len(qs), QUERIES):
+                q, qid = qs[i : i + QUERIES], qids[i : i + QUERIES]
                 s = table_scores(q, codes, norms, books)
                 bound = np.full(len(q), least, dtype=np.float32)
                 if len(x) > k:
                     bound = np.maximum(bound, np.partition(s, len(x) - k - 1, axis=1)[:, len(x) - k - 1] - low)
-                r, c = np.nonzero(s >= bound[:, None] - high)
+                a, b = np.nonzero(s >= bound[:, None] - high)
                 # Many candidates are cheaper as one product; its rounding is left for the products of 64 bits.
-                dots = (q @ x.T)[r, c] if len(r) * 16 > s.size else np.einsum("ij,ij->i", q[r], x[c])
+                dots = (q @ x.T)[a, b] if len(a) * 16 > s.size else np.einsum("ij,ij->i", q[a], x[b])
                 keep = dots >= least - 1e-4
-                r, c = r[keep], c[keep]
-                cos = (q[r].astype(np.float64) * x[c]).sum(1)
+                a, b = a[keep], b[keep]
+                cos = (q[a].astype(np.float64) * x[b]).sum(1)
                 keep = cos >= least
-                found = pd.DataFrame({"model": m, "a": qid[r[keep]], "b": ids[c[keep]], "cos": cos[keep]})
+                a, b, cos = a[keep], b[keep], cos[keep]
+                order = np.lexsort((ids[b], -cos, a))
+                a, b, cos = a[order], b[order], cos[order]
+                keep = np.arange(len(a)) - np.searchsorted(a, a) <= k
+                a, b, cos = a[keep], b[keep], cos[keep]
+                here, step = [np.zeros(0, dtype=bool)], max(1, (1 << 22) // (qcells.shape[1] * xcells.shape[1]))
+                for j in range(0, len(a), step):
+                    one, two = qcells[i + a[j : j + step]], xcells[b[j : j + step]]
+                    common = (one[:, :, None] == two[:, None, :]).any(2) & (one >= 0)
+                    here.append(one[np.arange(len(one)), common.argmax(1)] == cell)
+                found = pd.DataFrame({"a": qid[a], "b": ids[b], "cos": cos, "here": np.concatenate(here)})
+                found = found[found["here"]]
                 out += [found, found.rename(columns={"a": "b", "b": "a"})]
-            both = pd.concat(out).drop_duplicates(["a", "b"]).sort_values(["a", "cos", "b"], ascending=[True, False, True])
-            out = [both[both.groupby("a").cumcount() <= k]]
-        return pd.concat(out)[["model", "a", "b", "cos"]]
+        both = pd.concat(out).drop_duplicates(["a", "b"]).sort_values(["a", "cos", "b"], ascending=[True, False, True])
+        return both[both.groupby("a").cumcount() <= k].assign(model=m)[["model", "a", "b", "cos"]]
 
-    placed = _distinct(mine).mapInPandas(place, "model string, cell bigint, xb bigint, qb bigint, ask boolean, vec_id bigint, norm double, codes binary, v binary")
-    found = placed.groupBy("model", "cell", "xb", "qb").applyInPandas(match, "model string, a bigint, b bigint, cos double")
-    return found.groupBy("model", "a", "b").agg(F.max("cos").alias("cos"))
+    placed = _distinct(mine).mapInPandas(place, "model string, cell bigint, low bigint, high bigint, own bigint, rows binary, n binary, cells binary")
+    return placed.groupBy("model", "cell", "low", "high").applyInPandas(match, "model string, a bigint, b bigint, cos double")
 
 
 def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:

@@ -191,6 +191,31 @@ def test_vectors_by_the_index(spark, monkeypatch):
         assert hits >= 0.9 * 5 * len(range(0, len(u), 20))
 
 
+def test_vectors_met_in_many_cells(spark, monkeypatch):
+    """Of the pairs of small clusters over many cells three in a thousand are missed at most, also where vectors have copies."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PAYS", 1.0)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(3000, 32)).repeat(6, axis=0)
+    x = (x + rng.uniform(0.2, 0.4, size=(len(x), 1)) * rng.normal(size=x.shape)).astype(np.float32)
+    rows = [(i, "m", 32, v.tolist(), "", "") for i, v in enumerate(x)] + [(i + 10**6 * c, "n", 32, v.tolist(), "", "") for i, v in enumerate(x[:9000]) for c in (0, 1)]
+    df = spark.createDataFrame(rows, VEC).repartition(4)
+    assert set(vectors.build_index(df, 0.85, 5)) == {"m", "n"}
+    got = {(r.model, r.vec_id_a, r.vec_id_b) for r in vectors.most_similar(df, 5, 0.85).selectExpr("model", "least(vec_id, neighbour) vec_id_a", "greatest(vec_id, neighbour) vec_id_b").collect()}
+    for m, n, copies in (("m", len(x), (0,)), ("n", 9000, (0, 10**6))):
+        u = x[:n].astype(np.float64) / np.linalg.norm(x[:n].astype(np.float64), axis=1, keepdims=True)
+        true = set()
+        for i in range(n):
+            near = [j for j in range(i - i % 6, i - i % 6 + 6) if j == i or u[i] @ u[j] >= 0.85]
+            others = sorted((-1.0 if j == i else -(u[i] @ u[j]), j + c) for j in near for c in copies)
+            for c in copies:
+                best = [j for _, j in others if j != i + c][:5]
+                true |= {(m, min(i + c, j), max(i + c, j)) for j in best}
+        found = {p for p in got if p[0] == m}
+        assert len(true - found) <= 0.003 * len(true) and len(found - true) <= 0.003 * len(true), (m, len(true), len(true - found), len(found - true))
+
+
 def test_vectors_in_one_dense_cluster(spark, monkeypatch):
     """A third of the rows lie in one cluster, and there are many more cells than a fixed number of visits."""
     import numpy as np
