@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.llm.leaks import KeyFilter
 from mnemoframe.session import cut_lineage
 
 #: Codebooks are fitted on at most about SAMPLE vectors of a model and calibrated by the neighbours of about ASKED vectors,
@@ -40,6 +41,9 @@ PAYS = 0.1
 BLOCK_BYTES = 8 << 20
 #: Queries of one product, columns in a group whose greatest products bound the k-th best, and pairs ranked at once.
 QUERIES, GROUP, RANKED = 512, 64, 1 << 18
+#: Queries scored by tables at once, so that their scores stay in the cache, and the part of a cell's pairs from which on
+#: one product of all is cheaper than those of the shortlist.
+SCORED, LISTED = 256, 1 / 32
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -104,9 +108,20 @@ def _copies(df: DataFrame) -> DataFrame:
     return ids.join(several, key).select("model", "rep", "vec_id").distinct()
 
 
-def _distinct(df: DataFrame) -> DataFrame:
-    """(model, dim, vec_id, vec): exact copies of a vector are one row, under the smallest vec_id."""
-    return _keyed(df).groupBy("model", "dim", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.any_value("vec").alias("vec")).drop("h1", "h2")
+def _repeated(df: DataFrame) -> KeyFilter:
+    """Filter that has the keys of all vectors with more than one row."""
+    key = ["model", "dim", "h1", "h2"]
+    return KeyFilter(_keyed(df).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("h")))
+
+
+def _distinct(df: DataFrame, repeated: KeyFilter) -> DataFrame:
+    """(model, dim, vec_id, vec): exact copies of a vector are one row, under the smallest vec_id.
+
+    Only what the filter may have is grouped: a row that it doesn't have is the only one of its vector and stays in place.
+    """
+    keyed, maybe = _keyed(df), repeated.may_have(F.col("h1"))
+    several = keyed.where(maybe).groupBy("model", "dim", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.any_value("vec").alias("vec"))
+    return keyed.where(~maybe).drop("h1", "h2").unionByName(several.drop("h1", "h2"))
 
 
 def _halves(words: np.ndarray) -> np.ndarray:
@@ -155,9 +170,22 @@ def encode(x: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
 
 
 def table_scores(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
-    """Cosines of queries and encoded members: sums of one table entry a codebook, over the stored norms."""
-    s = sum((q @ words.T)[:, codes[:, b]] for b, words in enumerate(books))
-    return s / np.maximum(norms, 1e-6)
+    """Cosines of encoded members (rows) and queries: sums of one table row a codebook, over the stored norms."""
+    s = (books[0] @ q.T)[codes[:, 0]]
+    for b, words in enumerate(books[1:], 1):
+        s += (words @ q.T)[codes[:, b]]
+    s /= np.maximum(norms, 1e-6)[:, None]
+    return s
+
+
+def shortlist(s: np.ndarray, least: float, k: int, low: float, high: float) -> np.ndarray:
+    """Whether a table score (members x queries) is within the errors' reach of the wanted cosine and of the query's k + 1 best."""
+    bound = np.full(s.shape[1], least, dtype=np.float32)
+    # The k + 1 best raise the bound of a query only if so many scores are beyond it.
+    beyond = np.bincount(np.flatnonzero(s > bound[0] + np.float32(low)) % s.shape[1], minlength=s.shape[1]) > k
+    if beyond.any():
+        bound[beyond] = np.maximum(bound[beyond], np.partition(s[:, beyond], len(s) - k - 1, axis=0)[len(s) - k - 1] - low)
+    return s >= bound - high
 
 
 def _calibrate(books: list[np.ndarray], q: np.ndarray, x: np.ndarray, sample: np.ndarray) -> tuple[float, float, float, float]:
@@ -246,6 +274,14 @@ def unpack_unit(packed: np.ndarray, dim: int) -> np.ndarray:
     return (z / np.linalg.norm(z, axis=1, keepdims=True)).astype(np.float32)
 
 
+def earlier(n: np.ndarray, cells: np.ndarray, cell: int) -> np.ndarray:
+    """One bit for each cell before the given one that a row is placed in; row i has the next n[i] of the cells."""
+    placed = np.zeros((len(n), -(-max(cell, 1) // 64) * 64), dtype=bool)
+    row = np.repeat(np.arange(len(n)), n)
+    placed[row[cells < cell], cells[cells < cell]] = True
+    return np.packbits(placed, axis=1).view(np.uint64)
+
+
 def _parts_of_cells(good: DataFrame, shared) -> dict[tuple[str, int], int]:
     """(model, cell): number of parts of BLOCK rows or so. At most MAX_CELLS a model."""
 
@@ -260,7 +296,7 @@ def _parts_of_cells(good: DataFrame, shared) -> dict[tuple[str, int], int]:
     return {(r["model"], r["cell"]): max(1, -(-r["n"] // BLOCK)) for r in rows}
 
 
-def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -> DataFrame:
+def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int, repeated: KeyFilter) -> DataFrame:
     """(model, a, b, cos) for the models of the index: a's and b's best partners among those with a cell in common, both ways.
 
     The rows of a cell meet in parts of about BLOCK rows, cut by hash, however many there are. A pair comes out of the
@@ -297,36 +333,34 @@ def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -
                     "cells": [b"".join(cells[first[i] : first[i + 1]].tobytes() for i in r) for r in groups],
                 })
 
-    def read(g: pd.DataFrame, books: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    def read(g: pd.DataFrame, books: list[np.ndarray], cell: int) -> tuple[np.ndarray, ...]:
         n = np.frombuffer(b"".join(g["n"]), dtype=np.int16).astype(np.int64)
         rows = np.frombuffer(b"".join(g["rows"]), dtype=np.uint8).reshape(len(n), -1)
         field = lambda a, b, t: np.ascontiguousarray(rows[:, a:b]).view(t)
         end = 8 + 2 * len(books)
         codes = field(8, end, np.int16)
         norms = np.linalg.norm(sum(words[codes[:, b]] for b, words in enumerate(books)), axis=1)
-        cells = np.full((len(n), n.max()), -1, dtype=np.int16)
-        cells[np.arange(n.max()) < n[:, None]] = np.frombuffer(b"".join(g["cells"]), dtype=np.int16)
-        return field(0, 8, np.int64)[:, 0], norms, codes, unpack_unit(rows[:, end:], books[0].shape[1]), cells
+        cells = np.frombuffer(b"".join(g["cells"]), dtype=np.int16)
+        return field(0, 8, np.int64)[:, 0], norms, codes, unpack_unit(rows[:, end:], books[0].shape[1]), earlier(n, cells, cell)
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
         m, cell, low_part, high_part = (g[c].iloc[0] for c in ("model", "cell", "low", "high"))
-        out = [pd.DataFrame({"a": [], "b": [], "cos": [], "here": []})]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         books, _, low, high = shared.value[m]
-        sides = [read(s, books) for p in sorted({low_part, high_part}) if len(s := g[g["own"] == p])]
+        sides = [read(s, books, cell) for p in sorted({low_part, high_part}) if len(s := g[g["own"] == p])]
         pairs = [(0, 0)] if low_part == high_part else [(0, 1), (1, 0)] if len(sides) == 2 else []
         for l, r in pairs:
-            (qids, _, _, qs, qcells), (ids, norms, codes, x, xcells) = sides[l], sides[r]
-            for i in range(0, len(qs), QUERIES):
-                q, qid = qs[i : i + QUERIES], qids[i : i + QUERIES]
-                s = table_scores(q, codes, norms, books)
-                bound = np.full(len(q), least, dtype=np.float32)
-                if len(x) > k:
-                    bound = np.maximum(bound, np.partition(s, len(x) - k - 1, axis=1)[:, len(x) - k - 1] - low)
-                a, b = np.nonzero(s >= bound[:, None] - high)
+            (qids, _, _, qs, qbefore), (ids, norms, codes, x, before) = sides[l], sides[r]
+            for i in range(0, len(qs), SCORED):
+                q, qid = qs[i : i + SCORED], qids[i : i + SCORED]
+                listed = shortlist(table_scores(q, codes, norms, books), least, k, low, high)
                 # Many candidates are cheaper as one product; its rounding is left for the products of 64 bits.
-                dots = (q @ x.T)[a, b] if len(a) * 16 > s.size else np.einsum("ij,ij->i", q[a], x[b])
-                keep = dots >= least - 1e-4
-                a, b = a[keep], b[keep]
+                if dense := np.count_nonzero(listed) > LISTED * listed.size:
+                    listed &= x @ q.T >= least - 1e-4
+                b, a = np.divmod(np.flatnonzero(listed), len(q))
+                if not dense:
+                    keep = np.einsum("ij,ij->i", q[a], x[b]) >= least - 1e-4
+                    a, b = a[keep], b[keep]
                 cos = (q[a].astype(np.float64) * x[b]).sum(1)
                 keep = cos >= least
                 a, b, cos = a[keep], b[keep], cos[keep]
@@ -334,28 +368,31 @@ def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int) -
                 a, b, cos = a[order], b[order], cos[order]
                 keep = np.arange(len(a)) - np.searchsorted(a, a) <= k
                 a, b, cos = a[keep], b[keep], cos[keep]
-                here, step = [np.zeros(0, dtype=bool)], max(1, (1 << 22) // (qcells.shape[1] * xcells.shape[1]))
-                for j in range(0, len(a), step):
-                    one, two = qcells[i + a[j : j + step]], xcells[b[j : j + step]]
-                    common = (one[:, :, None] == two[:, None, :]).any(2) & (one >= 0)
-                    here.append(one[np.arange(len(one)), common.argmax(1)] == cell)
-                found = pd.DataFrame({"a": qid[a], "b": ids[b], "cos": cos, "here": np.concatenate(here)})
-                found = found[found["here"]]
-                out += [found, found.rename(columns={"a": "b", "b": "a"})]
-        both = pd.concat(out).drop_duplicates(["a", "b"]).sort_values(["a", "cos", "b"], ascending=[True, False, True])
-        return both[both.groupby("a").cumcount() <= k].assign(model=m)[["model", "a", "b", "cos"]]
-
-    placed = _distinct(mine).mapInPandas(place, "model string, cell bigint, low bigint, high bigint, own bigint, rows binary, n binary, cells binary")
+                here = ~(qbefore[i + a] & before[b]).any(1)
+                a, b, cos = qid[a[here]], ids[b[here]], cos[here]
+                out += [(a, b, cos), (b, a, cos)]
+        a, b, cos = (np.concatenate(z) for z in zip(*out))
+        order = np.lexsort((b, a))
+        a, b, cos = a[order], b[order], cos[order]
+        once = np.ones(len(a), dtype=bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, cos = a[once], b[once], cos[once]
+        order = np.lexsort((b, -cos, a))
+        a, b, cos = a[order], b[order], cos[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) <= k
+        return pd.DataFrame({"model": m, "a": a[keep], "b": b[keep], "cos": cos[keep]})
+
+    placed = _distinct(mine, repeated).mapInPandas(place, "model string, cell bigint, low bigint, high bigint, own bigint, rows binary, n binary, cells binary")
     return placed.groupBy("model", "cell", "low", "high").applyInPandas(match, "model string, a bigint, b bigint, cos double")
 
 
-def search_blocks(df: DataFrame, least: float, k: int) -> DataFrame:
+def search_blocks(df: DataFrame, least: float, k: int, repeated: KeyFilter) -> DataFrame:
     """(model, a, b, cos): for each query a its k best members b of each block, of cosine least or more.
 
     Exact copies are one query and one member, under the smallest vec_id; a query is a member too.
     """
     spark = df.sparkSession
-    good = _distinct(df)
+    good = _distinct(df, repeated)
     # One row per model.
     sizes = usable(df).groupBy("model", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") * F.col("dim") * 4 / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
@@ -401,9 +438,10 @@ def most_similar(df: DataFrame, k: int = 5, least: float = -2.0, exact: bool = F
     first = first.groupBy("model", F.col("rep").alias("b")).agg(F.collect_list("vec_id").alias("same"))
     index = {} if exact else build_index(df, least, k)
     rest = df.where(~F.col("model").isin(list(index))) if index else df
-    near = search_blocks(rest, least, k + 1)
+    repeated = _repeated(df)
+    near = search_blocks(rest, least, k + 1, repeated)
     if index:
-        near = near.unionByName(search_cells(df, index, least, k + 1))
+        near = near.unionByName(search_cells(df, index, least, k + 1, repeated))
     near = ranked(near, k + 1).drop("rank")
     near = near.join(first, ["model", "b"], "left").select("model", "a", F.explode(F.coalesce("same", F.array("b"))).alias("b"), "cos")
     near = ranked(near, k + 1).drop("rank")

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("mnemoframe.llm.queries")
 
@@ -234,6 +235,40 @@ def test_vectors_in_one_dense_cluster(spark, monkeypatch):
     assert got == true
 
 
+def test_only_copies_are_grouped(spark):
+    """Rows that are the only one of their vector aren't shuffled to find that out, nor are copies or repeated rows kept."""
+    rows = [(i, "m", 3, [float(i % 3900), 1.0, 2.0], "", "") for i in range(4000)] + [(7, "m", 3, [7.0, 1.0, 2.0], "", ""), (7, "n", 3, [7.0, 1.0, 2.0], "", "")]
+    df = spark.createDataFrame(rows, VEC).repartition(4)
+    repeated = vectors._repeated(df)
+    assert 200 <= vectors._keyed(df).where(repeated.may_have(F.col("h1"))).count() <= 300
+    got = sorted((r.model, r.dim, r.vec_id, tuple(r.vec)) for r in vectors._distinct(df, repeated).collect())
+    assert got == sorted([("m", 3, i, (float(i), 1.0, 2.0)) for i in range(3900)] + [("n", 3, 7, (7.0, 1.0, 2.0))])
+
+
+def test_shortlist_by_its_definition():
+    """Scores within the errors' reach of the wanted cosine and of the k + 1 best, without sorting queries that have fewer."""
+    import numpy as np
+
+    rng = np.random.default_rng(23)
+    for n, least, low, high in ((400, 0.6, 0.1, 0.2), (400, -2.0, 0.1, 0.2), (5, -2.0, 0.1, 0.2), (0, 0.6, 0.1, 0.2)):
+        s = rng.uniform(-1, 1, size=(n, 30)).astype(np.float32) ** 3
+        bound = np.full(30, least)
+        if n > 6:
+            bound = np.maximum(bound, np.sort(s, axis=0)[-7] - low)
+        assert (vectors.shortlist(s, least, 6, low, high) == (s >= (bound - high).astype(np.float32))).all()
+
+
+def test_first_cell_in_common():
+    """The bits of the cells before tell whether two rows of a cell meet in an earlier one."""
+    import numpy as np
+
+    rows = [[0, 3, 70, 300], [1, 70, 300], [3, 300, 301], [300], [2, 299, 300, 400]]
+    n, cells = np.array([len(r) for r in rows]), np.array(sum(rows, []), dtype=np.int16)
+    bits = vectors.earlier(n, cells, 300)
+    assert [[bool((bits[i] & bits[j]).any()) for j in range(5)] for i in range(5)] == [[min(set(p) & set(q)) < 300 for q in rows] for p in rows]
+    assert not vectors.earlier(n, cells, 0).any()
+
+
 def test_copies_of_a_vector(spark, monkeypatch):
     """Copies under other vec_ids rank by vec_id, and a model of few vectors with negative cosines keeps them all."""
     monkeypatch.setattr(vectors, "BLOCK_BYTES", 1000, raising=False)
