@@ -63,6 +63,8 @@ OPEN_ENDS = "the a an and or but of to in on at by for from with into than that
 COPIED, NEW_WORDS = 0.5, 1
 #: Words of an item of a list that is no sentence, uses of a word that make it established, and of a pair of words in golds.
 ITEM_WORDS, ESTABLISHED, REPEATED = 3, 5, 3
+#: Equal answers to a question are judged once for each range of so many bits of answer ids, which bounds their keys in a row.
+KEY_BITS = 16
 
 
 def _automaton(words: list[str]) -> tuple[list[dict[str, int]], list[int], list[int]]:
@@ -226,11 +228,15 @@ def with_prompt(df: DataFrame) -> DataFrame:
 def defects(pairs: DataFrame) -> DataFrame:
     """pairs (pair_kind, pair_key, question, response) with defect, only defective ones, once each.
 
+    An array pair_keys in the place of pair_key has the keys of all pairs that are equal otherwise, which are judged once.
+
     Kinds are tried in the order empty, refusal, echo, other_language, truncated. A NULL or blank question leaves only
     the kinds that don't look at it. Responses are judged as a whole, at any length.
     """
     d = pairs if "qw" in pairs.columns else with_prompt(pairs)
-    d = d.select("pair_kind", "pair_key", "qw", F.regexp_replace(plain_text(F.coalesce("response", F.lit(""))), "’", "'").alias("r"))
+    if "pair_keys" not in d.columns:
+        d = d.withColumn("pair_keys", F.array("pair_key"))
+    d = d.select("pair_kind", "pair_keys", "qw", F.regexp_replace(plain_text(F.coalesce("response", F.lit(""))), "’", "'").alias("r"))
     # A label before the copied prompt is no content of its own.
     d = d.withColumn("rw", _words(F.regexp_replace("r", r"^\s*\p{L}[\p{L} ]{0,20}:\s", "")))
     # Words hold no spaces: one string travels faster than an array of them.
@@ -258,10 +264,11 @@ def defects(pairs: DataFrame) -> DataFrame:
     ends = lambda k: F.when(k.isNull() & ~F.col("stops"), F.regexp_extract(line, two, 0))
     one = F.transform(F.array(kind), lambda k: F.struct(k.alias("kind"), F.split(ends(k), " ").alias("end")))
     # An exploded array instead of a filter, which the optimizer would compute a second time.
-    d = d.select("pair_kind", "pair_key", F.inline(F.filter(one, lambda o: o["kind"].isNotNull() | (F.size(o["end"]) == 2))))
-    d = d.select("pair_kind", "pair_key", "kind", F.coalesce(_keyed(F.get("end", F.lit(0))), F.concat(F.lit("\u0001"), "pair_key")).alias("p"), F.coalesce(F.lower(F.get("end", F.lit(1))), F.lit("")).alias("x"))
+    d = d.select("pair_kind", "pair_keys", F.inline(F.filter(one, lambda o: o["kind"].isNotNull() | (F.size(o["end"]) == 2))))
+    d = d.select("pair_kind", "pair_keys", "kind", F.coalesce(_keyed(F.get("end", F.lit(0))), F.concat(F.lit("\u0001"), F.get("pair_keys", F.lit(0)))).alias("p"), F.coalesce(F.lower(F.get("end", F.lit(1))), F.lit("")).alias("x"))
     j = d.join(_beginnings(pairs).withColumn("broken", F.lit("truncated")), ["p", "x"], "left")
-    return j.select("pair_kind", "pair_key", F.coalesce("kind", "broken").alias("defect")).where("defect IS NOT NULL").distinct()
+    found = j.select("pair_kind", "pair_keys", F.coalesce("kind", "broken").alias("defect")).where("defect IS NOT NULL")
+    return found.select("pair_kind", F.explode("pair_keys").alias("pair_key"), "defect").distinct()
 
 
 def _keyed(word: Column) -> Column:
@@ -283,9 +290,13 @@ def _beginnings(pairs: DataFrame) -> DataFrame:
 
 
 def benchmark_pairs(samples: DataFrame, answers: DataFrame) -> DataFrame:
-    """Question and gold of each sample, and question and answer of each answer without error that is no abstention."""
+    """Question and gold of each sample, and question and answer of each answer without error that is no abstention.
+
+    With pair_keys; equal answers to a sample are one row for each range of KEY_BITS bits of their ids.
+    """
     s = with_prompt(samples.select("sample_id", "question", "gold").where("sample_id IS NOT NULL").distinct())
-    a = answers.where("error IS NULL AND NOT coalesce(abstained, false) AND answer_id IS NOT NULL").select("answer_id", "sample_id", "answer").distinct()
-    of_samples = s.select(F.lit("sample").alias("pair_kind"), F.col("sample_id").alias("pair_key"), "question", "qw", F.col("gold").alias("response"))
-    of_answers = a.join(s, "sample_id").select(F.lit("answer").alias("pair_kind"), F.col("answer_id").cast("string").alias("pair_key"), "question", "qw", F.col("answer").alias("response"))
+    a = answers.where("error IS NULL AND NOT coalesce(abstained, false) AND answer_id IS NOT NULL AND sample_id IS NOT NULL")
+    a = a.groupBy("sample_id", "answer", F.shiftright("answer_id", KEY_BITS).alias("range")).agg(F.collect_set("answer_id").cast("array<string>").alias("pair_keys"))
+    of_samples = s.select(F.lit("sample").alias("pair_kind"), F.array("sample_id").alias("pair_keys"), "question", "qw", F.col("gold").alias("response"))
+    of_answers = a.join(s, "sample_id").select(F.lit("answer").alias("pair_kind"), "pair_keys", "question", "qw", F.col("answer").alias("response"))
     return of_samples.unionByName(of_answers)

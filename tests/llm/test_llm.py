@@ -141,6 +141,17 @@ def test_truncation_needs_no_template(spark):
     assert got == {k: v for k, v in cases.items() if v}
 
 
+def test_equal_answers_are_judged_once(spark):
+    """Equal answers to a sample are one row, whatever their number; each of their keys has the defect."""
+    asked = spark.createDataFrame([("s1", Q, "23 months"), ("s1", Q, "23 months"), ("s2", Q, None)], "sample_id string, question string, gold string")
+    rows = [(i, "s1", "I can't share that.", None, None) for i in [*range(20), 3, 70_000]] + [(30, "s1", "23 months", None, False), (31, "s2", "I can't share that.", None, None), (32, "s1", None, None, None), (33, "s1", "I can't share that.", "timeout", None)]
+    rows += [(34, "s1", "I can't share that.", None, True), (None, "s1", "I can't share that.", None, None), (35, None, "I can't share that.", None, None), (36, "s3", "I can't share that.", None, None)]
+    df = pairs.benchmark_pairs(asked, spark.createDataFrame(rows, "answer_id bigint, sample_id string, answer string, error string, abstained boolean"))
+    assert df.where("pair_kind = 'answer'").count() == 5 and df.where("pair_kind = 'sample'").count() == 2
+    got = {(r.pair_kind, r.pair_key, r.defect) for r in pairs.defects(df).collect()}
+    assert got == {("answer", str(i), "refusal") for i in [*range(20), 31, 70_000]} | {("answer", "32", "empty"), ("sample", "s2", "empty")}
+
+
 def test_automaton():
     q = tuple("a b c d e f".split())
     assert pairs._copied(q, "b c d x e f".split()) == 0.5
