@@ -191,18 +191,24 @@ def _within(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def _pair(q: list[str], r: list[str], text: str) -> tuple[bool, bool, int, bool, bool, bool]:
+@lru_cache(maxsize=4096)
+def _asked(prompt: str) -> tuple[tuple[str, ...], set[str], str | None, list[str]]:
+    """(lower words, the same as a set, the asking word, languages of most votes) of a prompt, for all responses to it."""
+    q = prompt.split()
+    ql, mine = tuple(w.lower() for w in q), _votes(q)
+    best = max(mine.values(), default=0)
+    return ql, set(ql), next((w for w in ql if w in ASKING), None), [lang for lang, n in mine.items() if n == best]
+
+
+def _pair(prompt: str, r: list[str], text: str) -> tuple[bool, bool, int, bool, bool, bool]:
     """(echo, other language, words of content shared with the prompt, a delimiter open, listing, unfinished) of one pair."""
-    ql, rl = [w.lower() for w in q], [w.lower() for w in r]
-    asked = set(ql)
+    ql, asked, asks, top = _asked(prompt)
+    rl = [w.lower() for w in r]
     echo = False
-    asks = next((w for w in ql if w in ASKING), None)
-    if len(rl) >= 5 and len(rl) * 2 >= len(ql) and ("?" in text or asks in rl) and _copied(tuple(ql), rl) >= COPIED:
+    if len(rl) >= 5 and len(rl) * 2 >= len(ql) and ("?" in text or asks in rl) and _copied(ql, rl) >= COPIED:
         new = {w for w in rl if w not in asked and w not in _LABELS}
         echo = len(new) <= 8 and sum(not any(_within(w, x, 2 if len(w) >= 5 else 1) for x in asked) for w in new) <= NEW_WORDS
-    mine, theirs = _votes(q), _votes(r)
-    best = max(mine.values(), default=0)
-    top = [lang for lang, n in mine.items() if n == best]
+    theirs = _votes(r) if len(top) == 1 else {}
     other = len(top) == 1 and max((n for lang, n in theirs.items() if lang != top[0]), default=0) > theirs.get(top[0], 0)
     # What ends with a mark isn't cut off: the rest is asked for other texts only.
     if text.rstrip()[-1:] in set(".!?。！？…"):
@@ -213,7 +219,7 @@ def _pair(q: list[str], r: list[str], text: str) -> tuple[bool, bool, int, bool,
 
 def _measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for qs, rs, texts in batches:
-        yield pd.DataFrame([_pair(q.split(), r.split(), t) for q, r, t in zip(qs, rs, texts)], columns=["echo", "other", "shared", "open", "listing", "unfinished"])
+        yield pd.DataFrame([_pair(q, r.split(), t) for q, r, t in zip(qs, rs, texts)], columns=["echo", "other", "shared", "open", "listing", "unfinished"])
 
 
 def _words(plain: Column) -> Column:
@@ -221,8 +227,8 @@ def _words(plain: Column) -> Column:
 
 
 def with_prompt(df: DataFrame) -> DataFrame:
-    """df (question, ...) with qw, the words of the plain question in their case."""
-    return df.withColumn("qw", _words(F.regexp_replace(plain_text(F.coalesce("question", F.lit(""))), "’", "'")))
+    """df (question, ...) with qs, the words of the plain question in their case with spaces between, as words hold none."""
+    return df.withColumn("qs", F.array_join(_words(F.regexp_replace(plain_text(F.coalesce("question", F.lit(""))), "’", "'")), " "))
 
 
 def defects(pairs: DataFrame) -> DataFrame:
@@ -233,15 +239,15 @@ def defects(pairs: DataFrame) -> DataFrame:
     Kinds are tried in the order empty, refusal, echo, other_language, truncated. A NULL or blank question leaves only
     the kinds that don't look at it. Responses are judged as a whole, at any length.
     """
-    d = pairs if "qw" in pairs.columns else with_prompt(pairs)
+    d = pairs if "qs" in pairs.columns else with_prompt(pairs)
     if "pair_keys" not in d.columns:
         d = d.withColumn("pair_keys", F.array("pair_key"))
-    d = d.select("pair_kind", "pair_keys", "qw", F.regexp_replace(plain_text(F.coalesce("response", F.lit(""))), "’", "'").alias("r"))
+    d = d.select("pair_kind", "pair_keys", "qs", F.regexp_replace(plain_text(F.coalesce("response", F.lit(""))), "’", "'").alias("r"))
     # A label before the copied prompt is no content of its own.
     d = d.withColumn("rw", _words(F.regexp_replace("r", r"^\s*\p{L}[\p{L} ]{0,20}:\s", "")))
     # Words hold no spaces: one string travels faster than an array of them.
     d = d.withColumn("rs", F.array_join("rw", " ")).withColumn("n", F.size("rw")).drop("rw")
-    d = d.withColumn("m", F.pandas_udf(_measure, "echo boolean, other boolean, shared int, open boolean, listing boolean, unfinished boolean")(F.array_join("qw", " "), "rs", "r"))
+    d = d.withColumn("m", F.pandas_udf(_measure, "echo boolean, other boolean, shared int, open boolean, listing boolean, unfinished boolean")("qs", "rs", "r"))
     unquoted = F.regexp_replace(F.lower("r"), "\"[^\"]*\"|“[^”]*”|«[^»]*»", " ")
     # Only the last line counts for the end of the text.
     line = F.substring_index(F.regexp_replace("r", r"[\s\p{Z}]+$", ""), "\n", -1)
@@ -297,6 +303,6 @@ def benchmark_pairs(samples: DataFrame, answers: DataFrame) -> DataFrame:
     s = with_prompt(samples.select("sample_id", "question", "gold").where("sample_id IS NOT NULL").distinct())
     a = answers.where("error IS NULL AND NOT coalesce(abstained, false) AND answer_id IS NOT NULL AND sample_id IS NOT NULL")
     a = a.groupBy("sample_id", "answer", F.shiftright("answer_id", KEY_BITS).alias("range")).agg(F.collect_set("answer_id").cast("array<string>").alias("pair_keys"))
-    of_samples = s.select(F.lit("sample").alias("pair_kind"), F.array("sample_id").alias("pair_keys"), "question", "qw", F.col("gold").alias("response"))
-    of_answers = a.join(s, "sample_id").select(F.lit("answer").alias("pair_kind"), "pair_keys", "question", "qw", F.col("answer").alias("response"))
+    of_samples = s.select(F.lit("sample").alias("pair_kind"), F.array("sample_id").alias("pair_keys"), "question", "qs", F.col("gold").alias("response"))
+    of_answers = a.join(s, "sample_id").select(F.lit("answer").alias("pair_kind"), "pair_keys", "question", "qs", F.col("answer").alias("response"))
     return of_samples.unionByName(of_answers)
