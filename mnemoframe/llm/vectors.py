@@ -300,7 +300,7 @@ def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int, r
     """(model, a, b, cos) for the models of the index: a's and b's best partners among those with a cell in common, both ways.
 
     The rows of a cell meet in parts of about BLOCK rows, cut by hash, however many there are. A pair comes out of the
-    first cell in common only. Rows travel as arrays, one for each batch and cell.
+    first cell in common only. Rows travel as arrays, one for each batch and cell, with the cells before that one.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(index)
@@ -315,22 +315,22 @@ def search_cells(df: DataFrame, index: dict[str, tuple], least: float, k: int, r
                 codes = np.concatenate([encode(x[i : i + 2048], books)[0] for i in range(0, len(x), 2048)])
                 at, cell = _placed(x, books, margin)
                 cells, first = cell.astype(np.int16), np.searchsorted(at, np.arange(len(x) + 1))
-                counts = np.diff(first).astype(np.int16)
+                before = (np.arange(len(at)) - first[at]).astype(np.int16)
                 rows = np.concatenate([ids[:, None].view(np.uint8), codes.astype(np.int16).view(np.uint8), pack_unit(x)], axis=1)
                 n = np.array([parts.value.get((m, c), 1) for c in range(len(books[0]))])[cell]
                 own = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[at] % n
-                at, cell, own, other = np.repeat(at, n), np.repeat(cell, n), np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                one, cell, own, other = np.repeat(np.arange(len(at)), n), np.repeat(cell, n), np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 order = np.lexsort((own, high, low, cell))
-                at, key = at[order], np.stack([cell, low, high, own], axis=1)[order]
+                one, key = one[order], np.stack([cell, low, high, own], axis=1)[order]
                 ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
                 keys = key[ends[:-1]].T
-                groups = [at[s:e] for s, e in zip(ends, ends[1:])]
+                groups = [one[s:e] for s, e in zip(ends, ends[1:])]
                 yield pd.DataFrame({
                     "model": m, "cell": keys[0], "low": keys[1], "high": keys[2], "own": keys[3],
-                    "rows": [rows[r].tobytes() for r in groups],
-                    "n": [counts[r].tobytes() for r in groups],
-                    "cells": [b"".join(cells[first[i] : first[i + 1]].tobytes() for i in r) for r in groups],
+                    "rows": [rows[at[r]].tobytes() for r in groups],
+                    "n": [before[r].tobytes() for r in groups],
+                    "cells": [b"".join(cells[first[at[i]] : i].tobytes() for i in r) for r in groups],
                 })
 
     def read(g: pd.DataFrame, books: list[np.ndarray], cell: int) -> tuple[np.ndarray, ...]:
